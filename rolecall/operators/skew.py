@@ -1,0 +1,36 @@
+"""Joining a many side that may be hot on a key to a side unique on it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 5000  # a key is hot when it holds more than 1/5000 of the many side
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, weight: Column, spread: Column,
+                total: Column | None = None) -> DataFrame:
+    """Left-join columns of ``one`` (unique on ``key``) onto ``many``.
+
+    ``weight`` is a column of ``one``: how many rows of ``many`` carry its key. Keys heavier
+    than 1/HOT_SHARE of the sum of weights number fewer than HOT_SHARE, so that slice of
+    ``one`` is broadcast, and its rows of ``many`` leave the shuffle key for ``spread`` (any
+    distinct text of a row), which scatters them. All other keys meet in a shuffled join.
+    """
+    values = [c for c in one.columns if c != key]
+    weighed = one.withColumn("_weight", weight.cast("long"))
+    if total is None:
+        total = weighed.select(F.sum("_weight")).scalar()
+    is_hot = F.col("_weight") * HOT_SHARE > total
+    packed = F.struct(*values)
+    hot = weighed.where(is_hot).select(
+        F.col(key).alias("_hot_key"), packed.alias("_hot"))
+    cold = weighed.where(~is_hot).select(
+        F.col(key).alias("_cold_key"), packed.alias("_cold"))
+    routed = many.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
+        "_route",
+        F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.col(key))
+        .otherwise(F.concat(F.lit("spread:"), spread)))
+    joined = routed.join(cold, F.col("_route") == F.col("_cold_key"), "left")
+    found = F.coalesce("_hot", "_cold")
+    return joined.select(*many.columns, *[found[v].alias(v) for v in values])
