@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import search
+from .patterns import WORD, search
 
 # Spellings of each degree level.
 BACHELOR = [
@@ -22,7 +22,8 @@ DOCTORATE = [r"ph\.?d\.?", "doctor(?:ate|al)", "jd", "md", "edd", "dphil"]
 
 
 def _mentions(text: Column, spellings: list[str]) -> Column:
-    pattern = r"\b(?:" + "|".join(spellings) + r")\b"
+    # Whole words only. A spelling's closing dot may be left out, so no word may follow.
+    pattern = f"(?<!{WORD})(?:" + "|".join(spellings) + f")(?!{WORD})"
     return F.coalesce(search(F.translate(text, "/", " "), pattern), F.lit(False))
 
 

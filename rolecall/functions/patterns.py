@@ -11,41 +11,44 @@ _GROUP_NAME = re.compile(r"\(\?P<(\w+)>")
 _GROUP_REF = re.compile(r"\(\?P=(\w+)\)")
 
 
-def to_java(pattern: str) -> str:
-    """Rewrite the few spellings that mean something else on the JVM.
+# What the class escapes cover in Python, spelled as members of a JVM character class.
+_CLASSES = {"s": r"\s\x1c-\x1f", "w": r"\p{L}\p{N}_", "d": r"\p{Nd}"}
+WORD = f"[{_CLASSES['w']}]"
+_BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+
 
-    ``\\s`` also covers the four separator controls, which Python counts as white space.
-    """
+def to_java(pattern: str) -> str:
+    """Rewrite the spellings that mean something else on the JVM."""
     pattern = _GROUP_NAME.sub(r"(?<\1>", pattern)
     pattern = _GROUP_REF.sub(r"\\k<\1>", pattern)
     out, in_class, i = [], False, 0
     while i < len(pattern):
-        pair = pattern[i:i + 2]
-        if pair[0] == "\\":
-            if pair == r"\s":
-                out.append(r"\s\x1c-\x1f" if in_class else r"[\s\x1c-\x1f]")
-            elif pair == r"\S" and not in_class:
-                out.append(r"[^\s\x1c-\x1f]")
-            elif pair == r"\Z":
+        char, escape = pattern[i], pattern[i + 1:i + 2]
+        if char == "\\":
+            members = _CLASSES.get(escape.lower())
+            if members and escape.islower():
+                out.append(members if in_class else f"[{members}]")
+            elif members:
+                out.append(f"[^{members}]")
+            elif escape == "b" and not in_class:
+                out.append(_BOUNDARY)
+            elif escape == "Z":
                 out.append(r"\z")
             else:
-                out.append(pair)
+                out.append(char + escape)
             i += 2
             continue
-        if pair[0] == "[" and not in_class:
-            in_class = True
-        elif pair[0] == "[":
+        if char in "[&" and in_class:  # nesting and intersection exist only on the JVM
             out.append("\\")
-        elif pair[0] == "]":
-            in_class = False
-        out.append(pair[0])
+        in_class = (in_class or char == "[") and char != "]"
+        out.append(char)
         i += 1
     return "".join(out)
 
 
 def search(text: Column, pattern: str) -> Column:
     """Case-insensitive, Unicode-aware search; null text stays null."""
-    return text.rlike("(?iU)" + to_java(pattern))
+    return text.rlike("(?iu)" + to_java(pattern))
 
 
 # Letters a case-insensitive match treats as i, s or k.

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -46,7 +47,7 @@ BLANKS = ["\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"]
 _TABLE = str.maketrans({**LOOKALIKES, **dict.fromkeys(BLANKS, " ")})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _transliterate(text: pd.Series) -> pd.Series:
     return text.map(
         lambda t: unicodedata.normalize("NFKD", t).translate(_TABLE), na_action="ignore")
@@ -156,7 +157,7 @@ def _to_markdown(html: str) -> str:
     return parser.result()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(_to_markdown, na_action="ignore")
 
