@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_to_markdown
 from ..operators.dedup import (
-    SKIP, affected_leaves, exact_distinct, leaf_texts, leaves, merge_leaves, position_token,
+    SKIP, affected_leaves, exact_distinct, leaf_texts, leaves, merge_leaves, merge_pass,
+    position_token,
     strict_anti, text_facts, with_texts)
 from ..operators.numbering import sequenced
 from ..schema import INSTANCE_COLS, conform, is_text
@@ -71,6 +72,40 @@ def merge_input(new: DataFrame, archive: DataFrame) -> DataFrame:
     return new.unionByName(archive.join(touched, "_leaf", "left_semi"))
 
 
+def merged_table(
+    batch: DataFrame, archive: DataFrame | None = None, null_keys: str = SKIP, order: str = "ord"
+) -> DataFrame:
+    """The archive after a merge, for plain posting tables and without instance rows.
+
+    Adds ``n_instances``; archive rows the batch does not touch come back as they were.
+    """
+    new = exact_distinct(batch_leaves(batch, order), "_tok")
+    texts = leaf_texts(batch, batch_leaf(order))
+    untouched = None
+    if archive is not None:
+        old = raw_archive_leaves(archive, order)
+        new = strict_anti(new, old)
+        touched = affected_leaves(old, new)
+        untouched = old.join(touched, "_leaf", "left_anti")
+        new = new.unionByName(old.join(touched, "_leaf", "left_semi"))
+        texts = texts.unionByName(raw_archive_texts(archive, order))
+    rows = merge_leaves(new, null_keys).rows
+    if untouched is not None:
+        rows = rows.unionByName(untouched.select(*rows.columns))
+    kept = [c for c in batch.columns if c != order]
+    return with_texts(rows, texts).select(*kept, F.col("_n").alias("n_instances"))
+
+
+def single_pass(
+    table: DataFrame, criterion: str, null_keys: str = SKIP, order: str = "ord"
+) -> DataFrame:
+    """A posting table merged on one duplicate criterion only."""
+    rows = merge_pass(batch_leaves(table, order), criterion, null_keys)
+    kept = [c for c in table.columns if c != order]
+    texts = leaf_texts(table, batch_leaf(order))
+    return with_texts(rows, texts).select(*kept, F.col("_n").alias("n_instances"))
+
+
 @dataclass
 class Segment:
     """What one merge adds to an archive, and the archive rows it replaces."""

@@ -11,7 +11,7 @@ from ..operators.numbering import row_numbers
 from ..operators.projection import labelled, list_columns, rendered, visible
 from ..operators.scoring import degree_score, derive, rank_order_score, with_keywords
 from ..operators.sorting import standard_order, typed_order
-from ..plans.fixture import AS_OF, postings, table
+from ..plans.fixture import AS_OF, postings
 from ..plans.rank import rank, score_profiles, scored_view
 from ..schema import DEFAULT_COLUMNS, DEFAULT_LABELS, INSTANCE_COLS, list_name
 from ..sources.html_report import html_rows
@@ -323,5 +323,3 @@ def flagship(spark, sf):
     return view.select("id", "title", "company", "city", "state", *_SCORES.split(", "),
                        F.array_join("keywords", ", ").alias("keywords"))
 
-
-__all__ = ["FLAGSHIP", "PROFILES", "flagship", "table"]
