@@ -19,14 +19,20 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE_SPACE, "")
 
 
+# Upper-case digraphs and their title-case forms.
+_UPPER_DIGRAPHS, _TITLE_DIGRAPHS = "\u01c4\u01c7\u01ca\u01f1", "\u01c5\u01c8\u01cb\u01f2"
+
+
 def title_case(text: Column) -> Column:
     """Capital after every character without case, the rest lower (unlike ``initcap``)."""
+    def titled(word: Column) -> Column:
+        upper = F.upper(F.substring(word, 1, 1))  # may be two letters
+        return F.concat(
+            F.translate(F.substring(upper, 1, 1), _UPPER_DIGRAPHS, _TITLE_DIGRAPHS),
+            F.lower(F.substring(upper, 2, 2)), word.substr(F.lit(2), F.length(word)))
+
     words = F.split(F.lower(text), f"(?<![{_CASED}])(?=[{_CASED}])")
-    return F.array_join(
-        F.transform(
-            words,
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))),
-        "")
+    return F.array_join(F.transform(words, titled), "")
 
 
 # ASCII look-alikes of characters that survive compatibility decomposition.

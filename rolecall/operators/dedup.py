@@ -120,15 +120,14 @@ def next_group(df: DataFrame, criterion: str, null_keys: str) -> Column:
     return F.when(_any_null(keys), F.col("_gid")).otherwise(grouped)
 
 
-def _merged_value(column: str) -> Column:
-    value = F.col(column)
-    if column.startswith("_ref_"):  # longest text, first in row order on ties
-        rule = F.min_by(value, F.when(value.isNotNull(), F.struct(value["neglen"], "_tok")))
-    elif column == "date_posted":  # latest date
-        rule = F.max_by(value, value.try_cast("date"))
-    else:  # last value present in row order
-        rule = F.max_by(value, F.when(value.isNotNull(), F.col("_tok")))
-    return rule.alias(column)
+def _merged_value(name: str) -> str:
+    """Aggregate of one leaf column, as SQL."""
+    if name.startswith("_ref_"):  # longest text, first in row order on ties
+        order = f"if(`{name}` IS NULL, NULL, struct(`{name}`.neglen, _tok))"
+        return f"min_by(`{name}`, {order}) AS `{name}`"
+    if name == "date_posted":  # latest date
+        return f"max_by({name}, try_cast({name} AS DATE)) AS {name}"
+    return f"max_by(`{name}`, if(`{name}` IS NULL, NULL, _tok)) AS `{name}`"  # last present
 
 
 def position_token(source: int, major: Column, minor: Column) -> Column:
@@ -165,8 +164,7 @@ def merge_pass(rows: DataFrame, criterion: str, null_keys: str = SKIP) -> DataFr
     merged = (
         rows.withColumn("_next", next_group(rows, criterion, null_keys))
         .groupBy("_next")
-        .agg(*[_merged_value(c) for c in held],
-             F.min("_tok").alias("_tok"), F.sum("_n").alias("_n"))
+        .agg(*map(F.expr, [*map(_merged_value, held), "min(_tok) AS _tok", "sum(_n) AS _n"]))
         .withColumnRenamed("_next", "_gid")
     )
     return merged.withColumn("_tok", _order_token(merged, criterion, null_keys))

@@ -42,27 +42,23 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     )
 
 
-def running_counts(
-    df: DataFrame, key: str, seq: str, counted: dict[str, Column]
-) -> DataFrame:
-    """Running totals of 0/1 columns within ``key`` by ``seq``, for keys of any size.
+def running_counts(df: DataFrame, key: str, seq: str, counted: dict[str, str]) -> DataFrame:
+    """Running counts of SQL conditions within ``key`` by ``seq``, for keys of any size.
 
-    ``seq`` must come from ``sequenced`` (or be stored by it). A key is summed slice by slice;
+    ``seq`` must come from ``sequenced`` (or be stored by it). A key is counted slice by slice;
     only one row per key and slice goes through the window that adds the slices up.
     """
     sliced = df.withColumn("_slice", slice_of(seq))
-    within = Window.partitionBy(key, "_slice").orderBy(seq)
-    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(key, "_slice")
-        .agg(*[F.sum(c.cast("long")).alias(n) for n, c in counted.items()])
-        .select(key, "_slice", *[
-            F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_before") for n in counted])
-    )
-    inner = sliced.select(
-        "*", *[F.sum(c.cast("long")).over(within).alias(n) for n, c in counted.items()])
-    return (
-        inner.join(offsets, [key, "_slice"])
-        .select(*df.columns, *[(F.col(n) + F.col(f"_{n}_before")).alias(n) for n in counted])
-    )
+    within = f"OVER (PARTITION BY {key}, _slice ORDER BY {seq})"
+    earlier = (f"OVER (PARTITION BY {key} ORDER BY _slice "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    totals = sliced.groupBy(key, "_slice").agg(
+        *[F.expr(f"count_if({condition}) AS {name}") for name, condition in counted.items()])
+    offsets = totals.selectExpr(
+        key, "_slice",
+        *[f"coalesce(sum({name}) {earlier}, 0) AS _{name}_before" for name in counted])
+    inner = sliced.selectExpr(
+        "*", *[f"count_if({condition}) {within} AS {name}" for name, condition in counted.items()])
+    return inner.join(offsets, [key, "_slice"]).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"{name} + _{name}_before AS {name}" for name in counted])

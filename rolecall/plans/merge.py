@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import html_to_markdown
 from ..operators.dedup import (
     SKIP, affected_leaves, exact_distinct, leaf_texts, leaves, merge_leaves, merge_pass,
-    position_token,
-    strict_anti, text_facts, with_texts)
+    position_token, strict_anti, text_facts, with_texts)
 from ..operators.numbering import sequenced
 from ..schema import INSTANCE_COLS, conform, is_text
 from ..sources.storage import materialize

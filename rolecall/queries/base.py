@@ -34,7 +34,7 @@ def titled(text: str) -> str:
     cased = r"\p{Lu}\p{Ll}\p{Lt}"
     return (
         f"array_to_string(list_transform(regexp_extract_all(lower({text}), "
-        f"'[{cased}]+|[^{cased}]+'), lambda w: upper(w[1:1]) || w[2:]), '')")
+        f"'[{cased}]+|[^{cased}]+'), lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || w[2:]), '')")
 
 
 def _mentions(spellings: list[str]) -> str:

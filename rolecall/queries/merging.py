@@ -214,7 +214,7 @@ def ingested(spark, sf):
     "p.max_amount FROM flat JOIN postings p ON p.ord = member"))
 def merged_lists(spark, sf):
     """Every merged posting's instances in list order, one row each."""
-    segment = merge_batch(ingested(spark, sf), 1)
+    segment = merge_batch(postings(spark, sf), 1)
     owners = segment.postings.select("posting_id", F.col("id").alias("posting"))
     return aligned_records(segment.instances).join(owners, "posting_id").select(
         "posting", F.col("instance").cast("bigint"), "id", "site", "title", "date_posted",

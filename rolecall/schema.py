@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # The posting record, one field per column.
@@ -84,18 +83,12 @@ def is_text(column: str) -> bool:
     return column.endswith("description")
 
 
-def typed_null(column: str) -> Column:
-    return F.lit(None).cast(POSTING[column].dataType)
-
-
 def conform(df: DataFrame) -> DataFrame:
     """Give ``df`` every posting column with its declared type; extra columns stay."""
-    extra = [c for c in df.columns if c not in POSTING_COLS]
-    return df.select(
-        *[
-            F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
-            else typed_null(f.name).alias(f.name)
-            for f in POSTING
-        ],
-        *extra,
-    )
+    present = set(df.columns)
+    wanted = [
+        f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) "
+        f"AS `{f.name}`"
+        for f in POSTING
+    ]
+    return df.selectExpr(*wanted, *[f"`{c}`" for c in df.columns if c not in POSTING_COLS])
