@@ -27,10 +27,12 @@ def slice_of(seq: Column) -> Column:
 def row_numbers(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Dense 1-based row number over the whole ordered table.
 
-    Each sort partition is numbered on its own; the offsets are one row per partition,
-    which bounds both the window over them and the broadcast.
+    The rows are written before the sort, which would otherwise compute them twice: once to
+    sample its ranges, once to sort. Each sort partition is then numbered on its own; the
+    offsets are one row per partition, which bounds the window over them and the broadcast.
     """
-    rows = sequenced(df, order, "_seq").withColumn("_slice", slice_of("_seq"))
+    rows = sequenced(materialize(df, "unsorted"), order, "_seq").withColumn(
+        "_slice", slice_of("_seq"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_slice").count().select(
         "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.filters import (
-    DEGREE_LEVELS, FilterSpec, Mask, active, all_of, any_of, apply_filters,
+    FilterSpec, Mask, active, all_of, any_of, apply_filters,
     degree_filter, mentions, newer_than_hours, none_of, recent, term_filter, work_model_filter)
 from ..operators.favorites import with_favorites
 from ..operators.scoring import derive
@@ -72,19 +72,9 @@ _filter_query(
     derived=True)
 
 
-@query("degree_level", over_derived(
-    "SELECT l.level, degree_bin, count(*) AS n FROM derived, (VALUES "
-    "('bachelor', [0, 1, 3, 7]), ('master', [0, 2, 3, 6, 7]), ('doctorate', [0, 4, 5, 6, 7])) "
-    "l(level, bins) WHERE list_contains(bins, degree_bin) GROUP BY 1, 2"))
-def degree_level(spark, sf):
-    """How many postings each degree level lets through, from one count per degree bin."""
-    bins = derive(postings(spark, sf)).groupBy("degree_bin").agg(F.count("*").alias("n"))
-    passed = None
-    for level in (name for name, listed in DEGREE_LEVELS.items() if listed):
-        rows = apply_filters(bins, {"degree_level": degree_filter(level)}).select(
-            F.lit(level).alias("level"), "degree_bin", "n")
-        passed = rows if passed is None else passed.unionByName(rows)
-    return passed
+_filter_query(
+    "degree_level", "degree_bin IN (0, 1, 3, 7)", {"degree_level": degree_filter("bachelor")},
+    derived=True, shown=_SHOWN + ", degree_bin")
 
 
 @query("mask_join", over_postings(
