@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import WORD, search
+from .patterns import WORD, fold, to_java
 
 # Spellings of each degree level.
 BACHELOR = [
@@ -21,22 +21,32 @@ MASTER = [
 DOCTORATE = [r"ph\.?d\.?", "doctor(?:ate|al)", "jd", "md", "edd", "dphil"]
 
 
-def _mentions(text: Column, spellings: list[str]) -> Column:
+# Letters and digits a spelling of each level starts with.
+_STARTS = {id(BACHELOR): "bfu4d", id(MASTER): "mgap", id(DOCTORATE): "pdjme"}
+
+
+def slashless(text: Column) -> Column:
+    """Folded text in which a slash separates words, ready for the level tests."""
+    return fold(F.replace(text, F.lit("/"), F.lit(" ")))
+
+
+def _mentions(folded: Column, spellings: list[str]) -> Column:
     # Whole words only. A spelling's closing dot may be left out, so no word may follow.
-    pattern = f"(?<!{WORD})(?:" + "|".join(spellings) + f")(?!{WORD})"
-    return F.coalesce(search(F.translate(text, "/", " "), pattern), F.lit(False))
+    start = f"(?=[{_STARTS[id(spellings)]}])(?<!{WORD})"
+    pattern = start + "(?:" + "|".join(spellings) + f")(?!{WORD})"
+    return F.coalesce(folded.rlike(to_java(pattern)), F.lit(False))
 
 
-def has_bachelor(text: Column) -> Column:
-    return _mentions(text, BACHELOR)
+def has_bachelor(folded: Column) -> Column:
+    return _mentions(folded, BACHELOR)
 
 
-def has_master(text: Column) -> Column:
-    return _mentions(text, MASTER)
+def has_master(folded: Column) -> Column:
+    return _mentions(folded, MASTER)
 
 
-def has_doctorate(text: Column) -> Column:
-    return _mentions(text, DOCTORATE)
+def has_doctorate(folded: Column) -> Column:
+    return _mentions(folded, DOCTORATE)
 
 
 def degree_bin(ba: Column, ma: Column, phd: Column) -> Column:

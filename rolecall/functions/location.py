@@ -35,28 +35,39 @@ def _state_code(part: Column) -> Column:
     return F.create_map(*pairs)[part]
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _looked_up(parts: Column) -> Column:
+    first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
+    return F.struct(
+        F.size(parts).alias("n"), first.alias("first"), second.alias("second"),
+        _state_code(F.lower(first)).alias("first_code"),
+        _state_code(F.lower(second)).alias("second_code"),
+        F.lower(first).isin(COUNTRY).alias("first_is_country"),
+        F.lower(second).isin(COUNTRY).alias("second_is_country"))
+
+
+def _place(p: Column) -> Column:
+    n, first_code, second_code = p["n"], p["first_code"], p["second_code"]
+    of_country = (n == 2) & p["second_is_country"]
+    has_city = (
+        ((n == 1) & first_code.isNull() & ~p["first_is_country"])
+        | (of_country & first_code.isNull())
+        | ((n == 2) & ~of_country & second_code.isNotNull())
+        | (n == 3))
+    state = (
+        F.when((n == 1) | of_country, first_code)
+        .when(n == 2, second_code)
+        .when(n == 3, F.coalesce(second_code, F.upper(p["second"]))))
+    return F.struct(
+        F.coalesce(title_case(F.when(has_city, p["first"])), F.lit("")).alias("city"),
+        F.coalesce(state, F.lit("")).alias("state"))
+
+
 def parse_location(location: Column) -> Column:
     """``struct<city, state>``; both empty when the text names neither."""
-    parts = F.transform(F.split(location, ",", -1), strip)
-    part = [F.get(parts, F.lit(i)) for i in range(3)]
-    lowered = [F.lower(p) for p in part]
-    state = [_state_code(p) for p in lowered]
-    size = F.size(parts)
-    in_country = lowered[1].isin(COUNTRY)
-
-    city_text = (
-        F.when((size == 1) & state[0].isNull() & ~lowered[0].isin(COUNTRY), part[0])
-        .when((size == 2) & in_country & state[0].isNull(), part[0])
-        .when((size == 2) & ~in_country & state[1].isNotNull(), part[0])
-        .when(size == 3, part[0])
-    )
-    state_text = (
-        F.when(size == 1, state[0])
-        .when((size == 2) & in_country, state[0])
-        .when(size == 2, state[1])
-        .when(size == 3, F.coalesce(state[1], F.upper(part[1])))
-    )
-    return F.struct(
-        F.coalesce(title_case(city_text), F.lit("")).alias("city"),
-        F.coalesce(state_text, F.lit("")).alias("state"),
-    )
+    parts = F.transform(F.split(F.coalesce(location, F.lit(",,,")), ",", -1), strip)
+    return _bind(parts, lambda p: _bind(_looked_up(p), _place))

@@ -51,18 +51,64 @@ def search(text: Column, pattern: str) -> Column:
     return text.rlike("(?iu)" + to_java(pattern))
 
 
-# Letters a case-insensitive match treats as i, s or k.
-_FOLD_FROM, _FOLD_TO = "\u0130\u0131\u017f\u212a", "iisk"
+# Letters a case-insensitive match treats as i or s, though lower case keeps them.
+_FOLDED = {"\u0130": "i", "\u0131": "i", "\u017f": "s"}
 
 
 def fold(text: Column) -> Column:
-    """Lower-cased text in which an ASCII term can be looked for as a plain substring."""
-    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
+    """Lower-cased text in which an ASCII term can be looked for case-sensitively."""
+    for letter, plain in _FOLDED.items():
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
 
 
-def is_plain(term: str) -> bool:
-    """True when a pattern has no regex syntax and is ASCII, so a substring test decides it."""
-    return term.isascii() and re.fullmatch(r"[\w\s\-/,:;'\"#@%&=<>!~`]*", term) is not None
+_SYNTAX = set(r".^$*+?{}[]|()")
+
+
+def literal_runs(pattern: str) -> list[str] | None:
+    """The literal pieces of a pattern, in order; ``None`` if it has repeats, choices or groups.
+
+    A single piece means the pattern is that text and nothing else.
+    """
+    runs, i, plain = [""], 0, True
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            escaped = pattern[i + 1:i + 2]
+            if escaped.isalnum():
+                if escaped not in "bBdDsSwW":
+                    return None
+                runs.append("")
+                plain = False
+            else:
+                runs[-1] += escaped
+            i += 2
+            continue
+        if char == ".":
+            runs.append("")
+            plain = False
+        elif char in _SYNTAX:
+            return None
+        else:
+            runs[-1] += char
+        i += 1
+    return [runs[0]] if plain else [*runs, ""]
+
+
+def search_folded(folded: Column, text: Column, pattern: str) -> Column:
+    """``search`` that works on folded text wherever this finds the same.
+
+    Text that must occur is looked for as a plain substring before any regex runs.
+    """
+    runs = literal_runs(pattern)
+    if not pattern.isascii():
+        return search(text, pattern)
+    if runs is not None and len(runs) == 1:
+        return folded.contains(runs[0].lower())
+    bare = re.sub(r"\\.", "", pattern)
+    found = folded.rlike(to_java(pattern)) if bare == bare.lower() else search(text, pattern)
+    needed = max(runs, key=len).lower() if runs else ""
+    return folded.contains(needed) & found if needed else found
 
 
 def literal(term: str) -> str:

@@ -61,11 +61,20 @@ def label(header: Column) -> Column:
     return F.when(text.isNotNull(), chain.otherwise(F.lit("")))
 
 
-def split_sections(text: Column) -> Column:
-    """Array of ``struct<header, body>`` in text order."""
-    at_header = rf"(?<![^{_BREAKS}])(?=[^{_BREAKS}]*{MARK})"
-    blocks = F.filter(F.split(text, at_header, -1), lambda b: b != "")
+def _cut_at_headers(text: Column) -> Column:
+    """Blocks of text, each starting at a header line but perhaps the first.
+
+    The cut takes the line break before a header, which stripping would drop anyway. Newlines
+    alone are looked for with a simpler, much faster pattern.
+    """
+    other_break = text.rlike(f"[{_BREAKS[2:]}]")
+    any_break = rf"(?:\r\n|[{_BREAKS}])(?=[^{_BREAKS}]*{MARK})"
+    return F.when(other_break, F.split(text, any_break, -1)).otherwise(
+        F.split(text, rf"\n(?=[^\n]*{MARK})", -1))
 
+
+def split_sections(text: Column) -> Column:
+    """Array of ``struct<header, body>`` in text order; empty text has no section."""
     def section(block: Column) -> Column:
         first = F.regexp_extract(block, _LINE, 0)
         headed = first.contains(MARK)
@@ -75,6 +84,8 @@ def split_sections(text: Column) -> Column:
             strip(F.when(headed, rest).otherwise(block)).alias("body"),
         )
 
+    # Only empty text makes a single empty block.
+    blocks = F.filter(_cut_at_headers(text), lambda _: text != "")
     return F.transform(blocks, section)
 
 

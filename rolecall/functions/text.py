@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character Python counts as white space.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+    + "".join(chr(c) for c in range(0x2000, 0x200b)))
 
 
 def strip(text: Column) -> Column:
     """Trim all white space at both ends (``trim`` alone only takes blanks)."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 # Upper-case digraphs and their title-case forms.

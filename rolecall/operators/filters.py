@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.patterns import fold, is_plain, literal, search
+from ..functions.patterns import fold, literal, search
 
 Scalar = bool | int | float
 Expression = str | Scalar | Iterable | Callable[[Column], Column]
@@ -67,11 +67,6 @@ def any_term(text: Column, terms: str | Iterable[str], mode: str = LITERAL) -> C
     return never_null(reduce(Column.__or__, plain))
 
 
-def keyword_hit(folded: Column, text: Column, term: str) -> Column:
-    """Regex search for one term, as a substring test where the term has no regex syntax."""
-    return folded.contains(term.lower()) if is_plain(term) else search(text, term)
-
-
 def _equals(df: DataFrame, name: str, value: Scalar) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.NumericType):

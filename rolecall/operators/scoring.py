@@ -8,10 +8,11 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.degrees import degree_bin, has_bachelor, has_doctorate, has_master
+from ..functions.degrees import (
+    degree_bin, has_bachelor, has_doctorate, has_master, slashless)
 from ..functions.location import parse_location
-from ..functions.patterns import fold
-from .filters import keyword_hit, never_null
+from ..functions.patterns import fold, search_folded
+from .filters import never_null
 
 # Presets of the (bachelor, master, doctorate) weights.
 DEGREE_PRESETS = {
@@ -21,15 +22,15 @@ DEGREE_PRESETS = {
 
 def derive(df: DataFrame) -> DataFrame:
     """Add city, state, the degree flags and the degree bit mask."""
-    text = F.col("description")
-    flagged = df.withColumns({
-        "_place": parse_location(F.col("location")),
-        "has_ba": has_bachelor(text), "has_ma": has_master(text), "has_phd": has_doctorate(text),
-    })
+    text = F.col("_folded")
+    prepared = df.withColumns({
+        "_folded": slashless(F.col("description")), "_place": parse_location(F.col("location"))})
+    flagged = prepared.withColumns({
+        "has_ba": has_bachelor(text), "has_ma": has_master(text), "has_phd": has_doctorate(text)})
     return flagged.withColumns({
         "city": F.col("_place.city"), "state": F.col("_place.state"),
         "degree_bin": degree_bin(F.col("has_ba"), F.col("has_ma"), F.col("has_phd")),
-    }).drop("_place")
+    }).drop("_place", "_folded")
 
 
 def rank_order_score(
@@ -65,8 +66,8 @@ def with_keywords(df: DataFrame, scored_terms: Mapping[int, Sequence[str]]) -> D
     folded = df.withColumns({"_title": fold(F.col("title")), "_text": fold(F.col("description"))})
     hits = [
         F.when(
-            never_null(keyword_hit(F.col("_title"), F.col("title"), term))
-            | never_null(keyword_hit(F.col("_text"), F.col("description"), term)), F.lit(i))
+            never_null(search_folded(F.col("_title"), F.col("title"), term))
+            | never_null(search_folded(F.col("_text"), F.col("description"), term)), F.lit(i))
         for i, (term, _) in enumerate(terms)
     ]
     found = folded.withColumn("_hits", F.array_compact(F.array(*hits)))

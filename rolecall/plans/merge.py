@@ -82,8 +82,9 @@ def merged_table(
     texts = leaf_texts(batch, batch_leaf(order))
     untouched = None
     if archive is not None:
-        old = raw_archive_leaves(archive, order)
-        new = strict_anti(new, old)
+        # Read several times below; written without texts, so those are hashed once.
+        old = materialize(raw_archive_leaves(archive, order), "archive")
+        new = materialize(strict_anti(new, old), "new")
         touched = affected_leaves(old, new)
         untouched = old.join(touched, "_leaf", "left_anti")
         new = new.unionByName(old.join(touched, "_leaf", "left_semi"))

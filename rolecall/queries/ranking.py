@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.degrees import has_bachelor, has_doctorate, has_master
+from ..functions.degrees import has_bachelor, has_doctorate, has_master, slashless
 from ..functions.location import parse_location
 from ..operators.metrics import url_columns, width_thresholds
 from ..operators.numbering import row_numbers
@@ -94,8 +94,8 @@ def parsed_locations(spark, sf):
 
 @query("parse_degrees", over_derived("SELECT ord, has_ba, has_ma, has_phd FROM derived"))
 def parsed_degrees(spark, sf):
-    text = F.col("description")
-    return postings(spark, sf).select(
+    text = F.col("folded")
+    return postings(spark, sf).select("ord", slashless(F.col("description")).alias("folded")).select(
         "ord", has_bachelor(text).alias("has_ba"), has_master(text).alias("has_ma"),
         has_doctorate(text).alias("has_phd"))
 
