@@ -50,7 +50,7 @@ def never_null(condition: Column) -> Column:
 
 
 def any_term(text: Column, terms: str | Iterable[str], mode: str = LITERAL) -> Column:
-    """Does the text contain any term, ignoring case? Null text does not.
+    """Does the text contain any term, ignoring case? Null for null text.
 
     Terms are trimmed and blank ones dropped; with none left every text matches.
     """
@@ -59,12 +59,12 @@ def any_term(text: Column, terms: str | Iterable[str], mode: str = LITERAL) -> C
     if not cleaned:
         return text.isNotNull()
     if mode == REGEX:
-        return never_null(search(text, "|".join(f"(?:{t})" for t in cleaned)))
+        return search(text, "|".join(f"(?:{t})" for t in cleaned))
     plain = [fold(text).contains(t.lower()) for t in cleaned if t.isascii()]
     other = [literal(t.lower()) for t in cleaned if not t.isascii()]
     if other:
         plain.append(text.rlike("(?iu)" + "|".join(other)))
-    return never_null(reduce(Column.__or__, plain))
+    return reduce(Column.__or__, plain)
 
 
 def _equals(df: DataFrame, name: str, value: Scalar) -> Column:
@@ -79,7 +79,11 @@ def _equals(df: DataFrame, name: str, value: Scalar) -> Column:
 
 
 def predicate(df: DataFrame, spec: FilterSpec) -> Column:
-    """Null-free condition of one filter; an unknown column or mixed list matches nothing."""
+    """Condition of one filter; an unknown column or mixed list matches nothing.
+
+    Left nullable where a filter drops null anyway, so that it can reach the scan; an inverted
+    filter keeps the rows whose condition is null.
+    """
     name, expression = spec.column, spec.expression
     if name not in df.columns:
         matched = F.lit(False)
@@ -101,8 +105,7 @@ def predicate(df: DataFrame, spec: FilterSpec) -> Column:
             matched = any_term(F.col(name), items, spec.mode)
         else:
             matched = F.lit(False)
-    matched = never_null(matched)
-    return ~matched if spec.invert else matched
+    return ~never_null(matched) if spec.invert else matched
 
 
 def with_filter(registry: Mapping, name: str, spec: FilterSpec | Mask | None) -> dict:
@@ -127,24 +130,20 @@ def apply_filters(df: DataFrame, registry: Mapping[str, FilterSpec | Mask]) -> D
 def recent(date: Column, as_of: str, days: int) -> Column:
     """ISO date strings no older than ``days`` before ``as_of``; a literal bound reaches the scan."""
     cutoff = dt.date.fromisoformat(as_of[:10]) - dt.timedelta(days=days)
-    return never_null(date >= F.lit(cutoff.isoformat()))
-
-
-def favorites(flag: Column) -> Column:
-    return never_null(flag)
+    return date >= F.lit(cutoff.isoformat())
 
 
 def active(df: DataFrame, as_of: str, days: int, only_favorites: bool = False) -> DataFrame:
     """The rows a view starts from: recent ones, or all favourites instead."""
     if only_favorites:
-        return df.where(favorites(F.col("is_favorite")))
+        return df.where(F.col("is_favorite"))
     return df.where(recent(F.col("date_posted"), as_of, days))
 
 
 def newer_than_hours(date: Column, as_of: str, hours: int) -> Column:
     """Dates on or after the day that lies ``hours`` before ``as_of``; null dates are out."""
     cutoff = dt.datetime.fromisoformat(as_of) - dt.timedelta(hours=hours)
-    return never_null(date.try_cast("date") >= F.lit(cutoff.date()))
+    return date.try_cast("date") >= F.lit(cutoff.date())
 
 
 def degree_filter(level: str) -> FilterSpec | None:
@@ -191,4 +190,5 @@ def any_of(*conditions: Column) -> Column:
 
 
 def none_of(*conditions: Column) -> Column:
-    return ~any_of(*conditions)
+    """No condition holds; one that is null does not."""
+    return ~never_null(any_of(*conditions))
