@@ -26,21 +26,17 @@ def width_threshold(df: DataFrame, column: str) -> DataFrame:
     """One row: the width beyond which cells of a column wrap.
 
     WIDTH if nothing is longer, else the greatest length within MAX_Z standard deviations.
-    Lengths are counted first, so both looks at the data are looks at one row per length.
+    The data is read once, into one row per length; the windows see only those.
     """
     lengths = (
         df.select(shown_length(df, column).alias("len")).where(F.col("len").isNotNull())
         .groupBy("len").count())
-    n = F.sum("count")
-    mean = F.sum(F.col("len") * F.col("count")) / n
-    facts = lengths.select(n.alias("n"), mean.alias("mean"), F.max("len").alias("longest"))
-    spread = lengths.select(
-        F.sqrt(F.sum(F.pow(F.col("len") - facts.select("mean").scalar(), 2) * F.col("count"))
-               / F.nullif(n - 1, F.lit(0))).alias("std"))
-    z = (F.col("len") - facts.select("mean").scalar()) / F.nullif(
-        spread.scalar(), F.lit(0.0))
-    usual = F.max(F.when(z <= MAX_Z, F.col("len")))
-    return lengths.select(
+    spread = lengths.selectExpr(
+        "len", "count", "sum(count) OVER () AS n", "sum(len * count) OVER () AS total",
+    ).selectExpr("len", "n", "len - total / n AS off", "count").selectExpr(
+        "len", "off", "sqrt(sum(off * off * count) OVER () / nullif(n - 1, 0)) AS std")
+    usual = F.max(F.when(F.col("off") / F.nullif("std", F.lit(0.0)) <= MAX_Z, F.col("len")))
+    return spread.select(
         F.lit(column).alias("column_name"),
         F.when(F.max("len") > WIDTH, F.coalesce(usual, F.lit(WIDTH)))
         .otherwise(WIDTH).cast("int").alias("threshold"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_to_markdown
 from ..operators.dedup import (
-    SKIP, affected_leaves, exact_distinct, leaf_texts, leaves, merge_leaves, merge_pass,
-    position_token, strict_anti, text_facts, with_texts)
+    SAME, SKIP, affected_leaves, exact_distinct, instance_digest, leaf_texts, leaves,
+    merge_leaves, merge_pass, position_token, strict_anti, text_facts, with_texts)
 from ..operators.numbering import sequenced
 from ..schema import INSTANCE_COLS, conform, is_text
 from ..sources.storage import materialize
@@ -137,7 +137,6 @@ def merge_batch(
     else:
         new = materialize(strict_anti(new, instances if known == "instances" else postings), "new")
         taking_part = materialize(merge_input(new, archive_leaves(postings)), "leaves")
-        texts = texts.unionByName(leaf_texts(postings, archive_leaf()), allowMissingColumns=True)
     merged = merge_leaves(taking_part, null_keys, members=True)
     members = materialize(merged.members, "members")
     fields = [c for c in INSTANCE_COLS if c in taking_part.columns]
@@ -147,7 +146,9 @@ def merge_batch(
         retired = None
     else:
         touched = taking_part.where(F.col("_leaf").startswith("a:")).select("_leaf")
-        texts = texts.join(taking_part.select("_leaf"), "_leaf", "left_semi")
+        texts = texts.unionByName(
+            leaf_texts(postings, archive_leaf()).join(touched, "_leaf", "left_semi"),
+            allowMissingColumns=True)
         placed = placed.unionByName(
             instances.select(archive_leaf().alias("_leaf"), *fields, F.col("seq").alias("_old"))
             .join(touched, "_leaf", "left_semi"))
@@ -164,9 +165,11 @@ def merge_batch(
             F.col("_n").alias("n_instances"), "_tok"),
         posting_order(), "ord")
     segment_instances = sequenced(placed.join(members, "_leaf"), instance_order(), "seq")
+    same = instance_digest(segment_instances.select(*fields)).alias(SAME)
     return Segment(
         segment_postings.drop("_tok").withColumn("merge_seq", stamp),
-        segment_instances.select(F.col("_final").alias("posting_id"), *fields, "seq", stamp),
+        segment_instances.select(
+            F.col("_final").alias("posting_id"), *fields, "seq", same, stamp),
         retired)
 
 
