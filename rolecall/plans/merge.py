@@ -49,14 +49,18 @@ def batch_leaves(batch: DataFrame, order: str = "ord") -> DataFrame:
     return leaves(batch, batch_leaf(order), token).drop(order)
 
 
+def raw_leaf(order: str = "ord") -> Column:
+    return F.concat(F.lit("r:"), F.col(order).cast("string"))
+
+
 def raw_archive_leaves(archive: DataFrame, order: str = "ord") -> DataFrame:
     """Leaves of an archive that is still a plain posting table in ``order``."""
-    leaf = F.concat(F.lit("r:"), F.col(order).cast("string"))
-    return leaves(archive, leaf, position_token(1, F.lit(0), F.col(order))).drop(order)
+    token = position_token(1, F.lit(0), F.col(order))
+    return leaves(archive, raw_leaf(order), token).drop(order)
 
 
 def raw_archive_texts(archive: DataFrame, order: str = "ord") -> DataFrame:
-    return leaf_texts(archive, F.concat(F.lit("r:"), F.col(order).cast("string")))
+    return leaf_texts(archive, raw_leaf(order))
 
 
 def archive_leaves(postings: DataFrame) -> DataFrame:
@@ -78,21 +82,24 @@ def merged_table(
 
     Adds ``n_instances``; archive rows the batch does not touch come back as they were.
     """
+    kept = [c for c in batch.columns if c != order]
     new = exact_distinct(batch_leaves(batch, order), "_tok")
     texts = leaf_texts(batch, batch_leaf(order))
-    untouched = None
-    if archive is not None:
-        # Read several times below; written without texts, so those are hashed once.
-        old = materialize(raw_archive_leaves(archive, order), "archive")
-        new = materialize(strict_anti(new, old), "new")
-        touched = affected_leaves(old, new)
-        untouched = old.join(touched, "_leaf", "left_anti")
-        new = new.unionByName(old.join(touched, "_leaf", "left_semi"))
-        texts = texts.unionByName(raw_archive_texts(archive, order))
-    rows = merge_leaves(new, null_keys).rows
-    if untouched is not None:
-        rows = rows.unionByName(untouched.select(*rows.columns))
-    kept = [c for c in batch.columns if c != order]
+    if archive is None:
+        return _finished(merge_leaves(new, null_keys).rows, texts, kept)
+    # Read several times below; written without texts, so those are hashed once.
+    old = materialize(raw_archive_leaves(archive, order), "archive")
+    new = materialize(strict_anti(new, old), "new")
+    touched = materialize(affected_leaves(old, new), "touched")
+    taking_part = new.unionByName(old.join(touched, "_leaf", "left_semi"))
+    texts = texts.unionByName(
+        raw_archive_texts(archive, order).join(touched, "_leaf", "left_semi"))
+    untouched = archive.withColumn("_leaf", raw_leaf(order)).join(touched, "_leaf", "left_anti")
+    merged = _finished(merge_leaves(taking_part, null_keys).rows, texts, kept)
+    return merged.unionByName(untouched.select(*kept, F.lit(1).cast("long").alias("n_instances")))
+
+
+def _finished(rows: DataFrame, texts: DataFrame, kept: list[str]) -> DataFrame:
     return with_texts(rows, texts).select(*kept, F.col("_n").alias("n_instances"))
 
 
@@ -101,9 +108,8 @@ def single_pass(
 ) -> DataFrame:
     """A posting table merged on one duplicate criterion only."""
     rows = merge_pass(batch_leaves(table, order), criterion, null_keys)
-    kept = [c for c in table.columns if c != order]
     texts = leaf_texts(table, batch_leaf(order))
-    return with_texts(rows, texts).select(*kept, F.col("_n").alias("n_instances"))
+    return _finished(rows, texts, [c for c in table.columns if c != order])
 
 
 @dataclass
