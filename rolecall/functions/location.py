@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, title_case
+from .text import bind, strip, title_case
 
 # State names and their abbreviations, and spellings of the country.
 STATES = {
@@ -35,11 +35,6 @@ def _state_code(part: Column) -> Column:
     return F.create_map(*pairs)[part]
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _looked_up(parts: Column) -> Column:
     first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
     return F.struct(
@@ -70,4 +65,4 @@ def _place(p: Column) -> Column:
 def parse_location(location: Column) -> Column:
     """``struct<city, state>``; both empty when the text names neither."""
     parts = F.transform(F.split(F.coalesce(location, F.lit(",,,")), ",", -1), strip)
-    return _bind(parts, lambda p: _bind(_looked_up(p), _place))
+    return bind(parts, lambda p: bind(_looked_up(p), _place))

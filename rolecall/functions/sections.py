@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import search
-from .text import strip
+from .patterns import fold, search_folded
+from .text import bind, strip
 
 MARK = "###"
 # Every character that ends a line of text.
@@ -51,14 +51,20 @@ def extract_headers(text: Column) -> Column:
     return F.transform(F.filter(lines, lambda ln: ln.contains(MARK)), _header_text)
 
 
+def _first_label(header: Column) -> Column:
+    text, folded = header["text"], header["folded"]
+    name, pattern = LABEL_RULES[0]
+    chain = F.when(search_folded(folded, text, pattern), F.lit(name))
+    for name, pattern in LABEL_RULES[1:]:
+        chain = chain.when(search_folded(folded, text, pattern), F.lit(name))
+    return chain.otherwise(F.lit(""))
+
+
 def label(header: Column) -> Column:
     """Label of a header line, empty when no rule fits."""
     text = _header_text(header)
-    name, pattern = LABEL_RULES[0]
-    chain = F.when(search(text, pattern), F.lit(name))
-    for name, pattern in LABEL_RULES[1:]:
-        chain = chain.when(search(text, pattern), F.lit(name))
-    return F.when(text.isNotNull(), chain.otherwise(F.lit("")))
+    both = F.struct(text.alias("text"), fold(text).alias("folded"))
+    return F.when(header.isNotNull(), bind(both, _first_label))
 
 
 def _cut_at_headers(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,6 +18,11 @@ _SPACES = (
     + "".join(chr(c) for c in range(0x2000, 0x200b)))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(text: Column) -> Column:
     """Trim all white space at both ends (``trim`` alone only takes blanks)."""
     return F.btrim(text, F.lit(_SPACES))
