@@ -1,9 +1,7 @@
-import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rolecall.operators.dedup import GROUP, SKIP, merge_leaves
 from rolecall.operators.details import aligned_records, instance_records
