@@ -23,17 +23,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import fresh_path
 from .common import Index, buffers, materialize, sliced
 
 ORDER = 5
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+SLICE = 2 << 20  # bytes of text that are counted or scored in one go
 
 
 def _grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def _tallied(texts: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.
         yield n, keys, counts
 
 
-def blocks(docs: DataFrame, order: int) -> DataFrame:
+def blocks(docs: DataFrame) -> DataFrame:
     """Write (block, doc_id, text) once, blocks bounded in bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -81,27 +83,50 @@ def blocks(docs: DataFrame, order: int) -> DataFrame:
                     [pa.array(np.full(batch.num_rows, block)), *batch.columns],
                     ["block", *batch.schema.names])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(
-        run, f"block long, doc_id {kind}, text string"), "blocks")
+    path = fresh_path(docs.sparkSession, "blocks")
+    schema = f"block long, doc_id {kind}, text string"
+    docs.select("doc_id", "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def exploded(blocked: DataFrame, order: int = ORDER) -> DataFrame:
-    """(block, order, gram, n): how often each n-gram occurs in each part of a block."""
+    """(block, order, gram, n): how often each n-gram occurs in each block.
+
+    A block that two tasks read gives a row for each of them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        current = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            for n in sorted(held):
+                keys, counts = _added(held[n])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), current)), pa.array(np.full(len(keys), n, np.int32)),
+                     pa.array(keys), pa.array(counts)], ["block", "order", "gram", "n"])
+            held.clear()
+
         for whole in batches:
             blocks = whole.column("block")
             for block in blocks.unique().to_pylist():
-                rows = whole.filter(pa.compute.equal(blocks, block))
-                for batch in sliced(rows, "text"):
+                if block != current:
+                    yield from settled()
+                    current = block
+                for batch in sliced(whole.filter(pc.equal(blocks, block)), "text", SLICE):
                     for n, keys, counts in _tallied(batch.column("text"), order):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(keys), block)),
-                             pa.array(np.full(len(keys), n, np.int32)), pa.array(keys),
-                             pa.array(counts)], ["block", "order", "gram", "n"])
+                        held.setdefault(n, []).append((keys, counts))
+                        if len(held[n]) > 4:
+                            held[n] = [_added(held[n])]
+        yield from settled()
+
+    return blocked.select("block", "text").mapInArrow(run, "block long, order int, gram long, n long")
+
 
-    rows = blocked.select("block", "text").mapInArrow(
-        run, "block long, order int, gram long, n long")
-    return rows.groupBy("block", "order", "gram").agg(F.sum("n").alias("n"))
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several tallies together."""
+    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys))
+    return keys, counts.astype(np.int64)
 
 
 def count_table(grams: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -113,38 +138,39 @@ def count_table(grams: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA,
           min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_bytes, score) for every document, scored against counts of all of them."""
-    blocked = blocks(docs, order)
+    blocked = blocks(docs)
     grams = materialize(exploded(blocked, order), "grams")
     counts = count_table(grams, min_count)
     total = grams.where("order = 1").agg(F.sum("n")).first()[0] or 0
     joined = grams.select("block", "order", "gram").join(counts, ["order", "gram"])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(_, texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def run(texts: pa.Table, table: pa.Table) -> pa.Table:
         levels = _levels(table, order, total)
-        parts = []
-        whole = pa.RecordBatch.from_pandas(texts[["doc_id", "text"]], preserve_index=False)
-        for batch in sliced(whole.cast(pa.schema([whole.schema.field(0), ("text", pa.string())])),
-                            "text", 4 << 20):
-            logs, row = _logs(batch.column("text"), levels, alpha)
-            parts.append(pd.DataFrame({
-                "doc_id": batch.column("doc_id").to_pandas(),
-                "n_bytes": np.bincount(row, minlength=batch.num_rows),
-                "sum": np.bincount(row, logs, batch.num_rows)}))
-        return pd.concat(parts)
+        parts = [pa.table({"doc_id": pa.array([], texts.schema.field("doc_id").type),
+                           "n_bytes": pa.array([], pa.int64()), "sum": pa.array([], pa.float64())})]
+        for whole in texts.select(["doc_id", "text"]).to_batches():
+            for batch in sliced(whole, "text", SLICE):
+                logs, row = _logs(batch.column("text"), levels, alpha)
+                parts.append(pa.table({
+                    "doc_id": batch.column("doc_id"),
+                    "n_bytes": np.bincount(row, minlength=batch.num_rows).astype(np.int64),
+                    "sum": np.bincount(row, logs, batch.num_rows)}))
+        return pa.concat_tables(parts)
 
     found = (blocked.groupBy("block").cogroup(joined.groupBy("block"))
-             .applyInPandas(run, f"doc_id {kind}, n_bytes long, sum double"))
+             .applyInArrow(run, f"doc_id {kind}, n_bytes long, sum double"))
     return found.select("doc_id", "n_bytes",
                         F.when(F.col("n_bytes") > 0, F.col("sum") / F.col("n_bytes")).alias("score"))
 
 
-def _levels(table: pd.DataFrame, order: int, total: int) -> list[tuple[Index, np.ndarray]]:
+def _levels(table: pa.Table, order: int, total: int) -> list[tuple[Index, np.ndarray]]:
     """Per order, the n-grams of the table and the logarithm of count / count of the context."""
     levels, below, counted = [], np.zeros(1, np.int64), np.array([float(total)])
     for n in range(1, order + 1):
-        rows = table[table["order"] == n].sort_values("gram")
-        keys, counts = rows["gram"].to_numpy(), rows["count"].to_numpy(np.float64)
+        rows = table.filter(pc.equal(table.column("order"), n))
+        keys, first = np.unique(rows.column("gram").to_numpy(), return_index=True)
+        counts = rows.column("count").to_numpy()[first].astype(np.float64)
         at = np.searchsorted(below, keys >> 8)
         levels.append((Index(keys), np.log(counts / counted[at])))
         below, counted = keys, counts

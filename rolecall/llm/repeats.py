@@ -37,7 +37,7 @@ from .common import WordHashes, materialize, raw_texts, shingle_hashes, sliced
 
 DEPTH, PREFIX = 50, 8
 REACH = DEPTH - PREFIX  # furthest an anchor lies from the start of its window
-MOST = 20_000
+MOST = 500  # anchors in a group
 TOGETHER = 20_000  # anchors whose trees are grown in one go
 
 
@@ -279,21 +279,21 @@ def without_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     column, its new length; documents that lose all their words are dropped; the others do not change.
     """
     names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
-            for text, runs, copy in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist(),
-                                        batch.column("_copy").to_pylist()):
+            old, texts, keep = batch.column("text").to_pylist(), [], []
+            for text, runs, copy in zip(old, batch.column("_runs").to_pylist(), batch.column("_copy").to_pylist()):
                 words, n = _kept((text or "").encode(), runs, copy)
                 texts.append(text if len(words) == n else b" ".join(words).decode())
                 keep.append(bool(words) or not n)
-            columns = {name: batch.column(name) for name in names}
-            columns["text"] = pa.array(texts, batch.schema.field("text").type)
+            columns = dict(zip(names, batch.column("_row").flatten()))
+            columns["text"] = pa.array(texts, columns["text"].type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array(
-                    [n if new == old or new is None else len(new) for n, new, old in zip(
-                        batch.column("n_chars").to_pylist(), texts, batch.column("text").to_pylist())],
-                    batch.schema.field("n_chars").type)
+                    [n if new == was else len(new) for n, new, was in zip(columns["n_chars"].to_pylist(), texts, old)],
+                    columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(keep, pa.bool_()))
 
-    return _with_runs(docs, most).select(*(f"`{n}`" for n in names), "_runs", "_copy").mapInArrow(run, docs.schema)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"))
+    return _with_runs(rows, most).select("text", "_row", "_runs", "_copy").mapInArrow(run, docs.schema)

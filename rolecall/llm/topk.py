@@ -155,6 +155,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("q", "low"))).getField("low").alias("low"))
         return spread.join(copies.join(packed, "block"), ["block", "lane"])
 
+    whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  the product may leave the range of a long
     width = -(-(2 * bound + 1) // BINS)
     while True:
         counted = _scored(pairs(), _counter(width, bound > LONG >> 2),
@@ -165,8 +166,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
                .groupBy("block", "q").agg(F.max("bin").alias("bin")))
         lows = materialize(
             lows.join(kth, ["block", "q"], "left").select(
-                "block", "q", (F.col("low") + F.coalesce("bin", F.lit(0)) * F.lit(width)).alias("low")),
-            "lows")
+                "block", "q", (whole(F.col("low")) + whole(F.coalesce("bin", F.lit(0))) * whole(F.lit(width)))
+                .cast("long").alias("low")), "lows")
         if width == 1:
             break
         width = -(-width // BINS)
