@@ -12,7 +12,7 @@ _GROUP_REF = re.compile(r"\(\?P=(\w+)\)")
 
 
 # What the class escapes cover in Python, spelled as members of a JVM character class.
-_CLASSES = {"s": r"\s\x1c-\x1f", "w": r"\p{L}\p{N}_", "d": r"\p{Nd}"}
+_CLASSES = {"s": r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "w": r"\p{L}\p{N}_", "d": r"\p{Nd}"}
 WORD = f"[{_CLASSES['w']}]"
 _BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
@@ -48,7 +48,7 @@ def to_java(pattern: str) -> str:
 
 def search(text: Column, pattern: str) -> Column:
     """Case-insensitive, Unicode-aware search; null text stays null."""
-    return text.rlike("(?iu)" + to_java(pattern))
+    return text.rlike("(?iud)" + to_java(pattern))
 
 
 # Letters a case-insensitive match treats as i or s, though lower case keeps them.
@@ -106,7 +106,7 @@ def search_folded(folded: Column, text: Column, pattern: str) -> Column:
     if runs is not None and len(runs) == 1:
         return folded.contains(runs[0].lower())
     bare = re.sub(r"\\.", "", pattern)
-    found = folded.rlike(to_java(pattern)) if bare == bare.lower() else search(text, pattern)
+    found = folded.rlike("(?d)" + to_java(pattern)) if bare == bare.lower() else search(text, pattern)
     needed = max(runs, key=len).lower() if runs else ""
     return folded.contains(needed) & found if needed else found
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import fold, search_folded
+from .text import BREAKS as _BREAKS
 from .text import bind, strip
 
 MARK = "###"
 # Every character that ends a line of text.
-_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 _LINE = f"^[^{_BREAKS}]*"
 
 # Section labels with the wording that selects them; the first match wins.

@@ -16,6 +16,9 @@ _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 _SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
     + "".join(chr(c) for c in range(0x2000, 0x200b)))
+# What ends a line where Python splits a text into lines.
+BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+LINE_BREAK = rf"(?:\r\n|[{BREAKS}])"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -45,17 +48,99 @@ def title_case(text: Column) -> Column:
 
 
 # ASCII look-alikes of characters that survive compatibility decomposition.
-LOOKALIKES = dict(
-    pair.split("=", 1)
-    for pair in (
-        "¡=i ❶=1 ❷=2 ❸=3 ❹=4 ❺=5 ❻=6 ❼=7 ❽=8 ❾=9 ❿=10 ➀=1 ➁=2 ➂=3 ➃=4 ➄=5 ➅=6 ➆=7 ➇=8 "
-        "➈=9 ➉=10 ➊=1 ➋=2 ➌=3 ➍=4 ➎=5 ➏=6 ➐=7 ➑=8 ➒=9 ➓=10 Α=A Æ=AE Β=B Ð=D Μ=M ×=x æ=ae "
-        "Œ=OE œ=oe ƒ=f ɑ=a ɡ=g ʻ=' ‘=' ν=v ο=o ρ=p а=a б=6 е=e о=o р=p с=c у=y х=x ѕ=s і=i "
-        "ј=j ѵ=v ӕ=ae ։=: ৪=8 ৭=q ੧=q ଃ=8 ୨=9 ᵫ=ue ‐=- ‒=- –=- —=-- ―=-- ’=' “=\" ”=\" "
-        "′=' ⁄=/ ∕=/ ≤=<= ≥=>= ★=* Ꜳ=AA ꜳ=aa ·=* •=* ▪=* ▫=* ◦=* "
-        "\u0302=^ \u0311=^"
-    ).split()
-)
+LOOKALIKES = {
+    "¡": "i",
+    "❶": "1",
+    "❷": "2",
+    "❸": "3",
+    "❹": "4",
+    "❺": "5",
+    "❻": "6",
+    "❼": "7",
+    "❽": "8",
+    "❾": "9",
+    "❿": "10",
+    "➀": "1",
+    "➁": "2",
+    "➂": "3",
+    "➃": "4",
+    "➄": "5",
+    "➅": "6",
+    "➆": "7",
+    "➇": "8",
+    "➈": "9",
+    "➉": "10",
+    "➊": "1",
+    "➋": "2",
+    "➌": "3",
+    "➍": "4",
+    "➎": "5",
+    "➏": "6",
+    "➐": "7",
+    "➑": "8",
+    "➒": "9",
+    "➓": "10",
+    "Α": "A",
+    "Æ": "AE",
+    "Β": "B",
+    "Ð": "D",
+    "Μ": "M",
+    "×": "x",
+    "æ": "ae",
+    "Œ": "OE",
+    "œ": "oe",
+    "ƒ": "f",
+    "ɑ": "a",
+    "ɡ": "g",
+    "ʻ": "'",
+    "‘": "'",
+    "ν": "v",
+    "ο": "o",
+    "ρ": "p",
+    "а": "a",
+    "б": "6",
+    "е": "e",
+    "о": "o",
+    "р": "p",
+    "с": "c",
+    "у": "y",
+    "х": "x",
+    "ѕ": "s",
+    "і": "i",
+    "ј": "j",
+    "ѵ": "v",
+    "ӕ": "ae",
+    "։": ":",
+    "৪": "8",
+    "৭": "q",
+    "੧": "q",
+    "ଃ": "8",
+    "୨": "9",
+    "ᵫ": "ue",
+    "‐": "-",
+    "‒": "-",
+    "–": "-",
+    "—": "--",
+    "―": "--",
+    "’": "'",
+    "“": '"',
+    "”": '"',
+    "′": "'",
+    "⁄": "/",
+    "∕": "/",
+    "≤": "<=",
+    "≥": ">=",
+    "★": "*",
+    "Ꜳ": "AA",
+    "ꜳ": "aa",
+    "·": "*",
+    "•": "*",
+    "▪": "*",
+    "▫": "*",
+    "◦": "*",
+    '\u0302': "^",
+    '\u0311': "^",
+}
 # Zero-width separators that become a blank.
 BLANKS = ["\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"]
 
@@ -81,11 +166,15 @@ def drop_non_ascii(text: Column) -> Column:
 
 
 class _Markdown(HTMLParser):
-    """Markdown of one HTML fragment: headings, paragraphs, emphasis, links, lists."""
+    """Markdown of one HTML fragment: headings, paragraphs, emphasis, links, lists, tables, quotes."""
 
-    SKIP = {"script", "style", "head", "title"}
-    BLOCK = {"p", "div", "article", "section", "header", "footer", "nav", "body", "html", "table", "tr"}
+    SKIP = {"script", "style", "title"}
+    BLOCK = {"p", "div", "article", "section", "header", "footer", "nav", "body", "html", "dl"}
     EMPHASIS = {"b": "__", "strong": "__", "i": "_", "em": "_", "code": "`"}
+    # What an opening tag ends, up to which enclosing tag, where end tags are left out.
+    ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+            "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tr": ({"tr"}, {"table"}),
+            "p": ({"p"}, {"div", "li", "td", "th", "blockquote", "body"})}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -95,30 +184,52 @@ class _Markdown(HTMLParser):
     def put(self, piece: str):
         self.frames[-1][2].append(piece)
 
+    def inside(self, tag: str) -> bool:
+        return any(frame[0] == tag for frame in self.frames)
+
+    def end_open(self, tag: str):
+        """Close the element that a new ``tag`` ends, if it is open."""
+        ended, limits = self.ENDS.get(tag, ((), ()))
+        for frame in reversed(self.frames):
+            if frame[0] in limits:
+                return
+            if frame[0] in ended:
+                while self.close_frame() not in ended:
+                    pass
+                return
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.skipping += 1
         elif not self.skipping:
+            self.end_open(tag)
             if tag == "br":
                 self.put("  \n")
             elif tag == "hr":
                 self.put("\n\n---\n\n")
-            elif tag not in ("img", "meta", "link", "input"):
+            elif tag == "img":
+                found = dict(attrs)
+                self.put(f"![{found.get('alt') or ''}]({found.get('src') or ''})")
+            elif tag not in ("meta", "link", "input", "head"):
                 self.frames.append((tag, dict(attrs), []))
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self.skipping = max(0, self.skipping - 1)
-        elif not self.skipping and any(frame[0] == tag for frame in self.frames):
+        elif not self.skipping and self.inside(tag):
             while self.close_frame() != tag:
                 pass
 
     def handle_data(self, data):
-        if not self.skipping:
-            squeezed = " ".join(data.replace("\r", "\n").replace("\n", " ").split(" "))
-            while "  " in squeezed:
-                squeezed = squeezed.replace("  ", " ")
-            self.put(squeezed.replace("*", r"\*").replace("_", r"\_"))
+        if self.skipping:
+            return
+        if self.inside("pre"):
+            self.put(data)
+            return
+        squeezed = " ".join(data.replace("\r", "\n").replace("\n", " ").split(" "))
+        while "  " in squeezed:
+            squeezed = squeezed.replace("  ", " ")
+        self.put(squeezed.replace("*", r"\*").replace("_", r"\_"))
 
     def close_frame(self) -> str:
         tag, attrs, pieces = self.frames.pop()
@@ -128,16 +239,7 @@ class _Markdown(HTMLParser):
     def render(self, tag, attrs, body) -> str:
         text = body.strip()
         if tag in self.EMPHASIS or tag == "a":
-            if not text:
-                return body
-            lead = " " if body[:1].isspace() else ""
-            tail = " " if body[-1:].isspace() else ""
-            if tag == "a":
-                href = attrs.get("href")
-                title = (attrs.get("title") or href or "").replace('"', r"\"")
-                return f'{lead}[{text}]({href} "{title}"){tail}' if href else body
-            mark = self.EMPHASIS[tag]
-            return f"{lead}{mark}{text}{mark}{tail}"
+            return self.inline(tag, attrs, body, text)
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             return f"\n\n{'#' * int(tag[1])} {' '.join(text.split())}\n\n" if text else ""
         if tag == "li":
@@ -145,15 +247,46 @@ class _Markdown(HTMLParser):
             bullet = "\x00" + "\n".join([lines[0]] + ["  " + ln if ln else ln for ln in lines[1:]])
             return bullet + "\n"
         if tag in ("ul", "ol"):
-            nested = any(frame[0] == "li" for frame in self.frames)
+            nested = self.inside("li")
             marks = (f"{n}. " if tag == "ol" else "* " for n in range(1, body.count("\x00") + 1))
             head, *items = body.split("\x00")
             listed = head.strip() + "".join(next(marks) + item for item in items)
             return ("\n" if nested else "\n\n") + listed + ("" if nested else "\n")
+        if tag in ("td", "th"):
+            return f" {' '.join(text.split())} |"
+        if tag == "tr":
+            return f"|{body.strip(chr(10))}\n" if text else ""
+        if tag == "table":
+            rows = [line.strip() for line in text.split("\n") if line.strip()]
+            if not rows:
+                return ""
+            rule = "|" + " --- |" * (rows[0].count("|") - 1)
+            return "\n\n" + "\n".join([rows[0], rule, *rows[1:]]) + "\n\n"
+        if tag == "dt":
+            return f"\n{text}\n" if text else ""
+        if tag == "dd":
+            return f": {text}\n" if text else ""
+        if tag == "blockquote":
+            return "\n\n" + "\n".join("> " + line for line in text.split("\n")) + "\n\n" if text else ""
+        if tag == "pre":
+            inner = body.strip("\n")
+            return f"\n\n```\n{inner}\n```\n\n" if inner else ""
         if tag in self.BLOCK:
             return f"\n\n{text}\n\n" if text else ""
         return body
 
+    def inline(self, tag, attrs, body, text) -> str:
+        if not text or (tag == "code" and self.inside("pre")):
+            return body
+        lead = " " if body[:1].isspace() else ""
+        tail = " " if body[-1:].isspace() else ""
+        if tag == "a":
+            href = attrs.get("href")
+            title = (attrs.get("title") or href or "").replace('"', r"\"")
+            return f'{lead}[{text}]({href} "{title}"){tail}' if href else body
+        mark = self.EMPHASIS[tag]
+        return f"{lead}{mark}{text}{mark}{tail}"
+
     def result(self) -> str:
         while len(self.frames) > 1:
             self.close_frame()

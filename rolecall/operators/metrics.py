@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,30 +20,31 @@ def shown_length(df: DataFrame, column: str) -> Column:
     return F.length(value)
 
 
-def width_threshold(df: DataFrame, column: str) -> DataFrame:
-    """One row: the width beyond which cells of a column wrap.
+def width_thresholds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column: the width beyond which its cells wrap.
 
     WIDTH if nothing is longer, else the greatest length within MAX_Z standard deviations.
-    The data is read once, into one row per length; the windows see only those.
+    The data is read once for all columns, into one row per column and length; the windows see
+    only those.
     """
-    lengths = (
-        df.select(shown_length(df, column).alias("len")).where(F.col("len").isNotNull())
-        .groupBy("len").count())
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), shown_length(df, c).cast("long").alias("len"))
+        for c in columns])
+    each = "OVER (PARTITION BY column_name)"
+    lengths = df.select(F.inline(cells)).groupBy("column_name", "len").count()
     spread = lengths.selectExpr(
-        "len", "count", "sum(count) OVER () AS n", "sum(len * count) OVER () AS total",
-    ).selectExpr("len", "n", "len - total / n AS off", "count").selectExpr(
-        "len", "off", "sqrt(sum(off * off * count) OVER () / nullif(n - 1, 0)) AS std")
+        "column_name", "len", "if(len IS NULL, 0, count) AS count",
+    ).selectExpr(
+        "*", f"sum(count) {each} AS n", f"sum(len * count) {each} AS total",
+    ).selectExpr("column_name", "len", "n", "len - total / n AS off", "count").selectExpr(
+        "column_name", "len", "off",
+        f"sqrt(sum(off * off * count) {each} / nullif(n - 1, 0)) AS std")
     usual = F.max(F.when(F.col("off") / F.nullif("std", F.lit(0.0)) <= MAX_Z, F.col("len")))
-    return spread.select(
-        F.lit(column).alias("column_name"),
+    return spread.groupBy("column_name").agg(
         F.when(F.max("len") > WIDTH, F.coalesce(usual, F.lit(WIDTH)))
         .otherwise(WIDTH).cast("int").alias("threshold"))
 
 
-def width_thresholds(df: DataFrame, columns: list[str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [width_threshold(df, c) for c in columns])
-
-
 def merge_metrics(before: DataFrame | None, batch: DataFrame, after: DataFrame) -> DataFrame:
     """One row: new postings, duplicates folded in, and archive size after a merge."""
     size = F.count(F.lit(1))

@@ -36,8 +36,9 @@ SELECT 'p-' || CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey - o_orderkey %
    WHEN 2 THEN 'Bachelor''s degree. ' WHEN 3 THEN 'MBA or advanced degree. '
    WHEN 4 THEN 'Baltimore, MD office. ' WHEN 5 THEN 'M.A. or B.A. or doctoral. '
    ELSE '' END) || d.text AS description
-FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-LEFT JOIN {documents} d ON d.doc_id = o_orderkey % 200
+FROM (SELECT *, o_orderkey % (SELECT max(doc_id) + 1 FROM {documents}) AS doc_no FROM {orders})
+JOIN {customer} ON o_custkey = c_custkey
+LEFT JOIN {documents} d ON d.doc_id = doc_no
 """
 
 # The last order date of the test tables, used wherever the current time would be.
@@ -49,9 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Shuffle a table stored in fewer splits than there are cores; leave larger ones alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+    """Deal a table stored in few splits over as many partitions as a shuffle has."""
+    return df.repartition(df.columns[0])
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

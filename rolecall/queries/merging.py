@@ -12,7 +12,7 @@ from ..plans.fixture import postings
 from ..plans.merge import (
     batch_leaves, ingest, merge_batch, merged_table, raw_archive_leaves, single_pass)
 from ..schema import CRITERIA, POSTING_COLS
-from ..sources.archive import append_segment, read_archive
+from ..sources.archive import append_segment, compact, read_archive
 from ..sources.storage import fresh_path
 from ..streaming.update import start_updates
 from .base import over_postings, over_postings_and, query
@@ -249,16 +249,36 @@ def archive_roundtrip(spark, sf):
 _TWICE = (f"{_LEAVES}, {_HALF}, {merge_sql('half', 'older')}, {update_sql('older', 'updated')}")
 
 
-@query("archive_update", over_postings_and(
+_UPDATED = over_postings_and(
     _TWICE, "SELECT id, site, job_url_direct, title, company, date_posted, max_amount, "
-    "description, n AS n_instances FROM updated"))
+    "description, n AS n_instances FROM updated")
+
+
+def _shown(archive):
+    return archive.postings.select(
+        "id", "site", "job_url_direct", "title", "company", "date_posted", "max_amount",
+        "description", "n_instances")
+
+
+@query("archive_update", _UPDATED)
 def archive_update(spark, sf):
     """Two batches merged one after the other through an archive on disk."""
     batch, archive = halves(spark, sf)
-    last = _stored(spark, ingest(archive, html=False), ingest(batch, html=False))[-1]
-    return last.postings.select(
-        "id", "site", "job_url_direct", "title", "company", "date_posted", "max_amount",
-        "description", "n_instances")
+    return _shown(_stored(spark, ingest(archive, html=False), ingest(batch, html=False))[-1])
+
+
+@query("compacted_update", _UPDATED)
+def compacted_update(spark, sf):
+    """The same with the archive compacted between the two merges and after them."""
+    batch, archive = halves(spark, sf)
+    path = fresh_path(spark, "archive")
+    append_segment(spark, path, merge_batch(ingest(archive, html=False), 1), 1)
+    compact(spark, path)
+    known = read_archive(spark, path)
+    append_segment(spark, path, merge_batch(
+        ingest(batch, html=False), 2, known.postings, known.instances), 2)
+    compact(spark, path)
+    return _shown(read_archive(spark, path))
 
 
 @query("merge_metrics", over_postings_and(
@@ -271,14 +291,13 @@ def counted_merge(spark, sf):
     return merge_metrics(before.postings, batch, after.postings)
 
 
-@query("stream_update")
+@query("stream_update", _UPDATED)
 def stream_update(spark, sf):
     """Files landing in two rounds, merged by a stream that resumes where it stopped."""
     landing, path, checkpoint = (fresh_path(spark, n) for n in ("landing", "archive", "stream"))
-    for half in halves(spark, sf):
-        half.select(*[c for c in half.columns if c in POSTING_COLS]).write.mode("append").parquet(
-            landing)
+    batch, archive = halves(spark, sf)
+    for half in (archive, batch):
+        kept = [c for c in half.columns if c in POSTING_COLS]
+        half.orderBy("ord").select(*kept).write.mode("append").parquet(landing)
         start_updates(spark, landing, path, checkpoint, html=False).awaitTermination()
-    return read_archive(spark, path).postings.select(
-        "posting_id", "id", "title", "company", "date_posted", "n_instances", "merge_seq")
-
+    return _shown(read_archive(spark, path))

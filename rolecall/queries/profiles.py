@@ -8,10 +8,10 @@ from ..operators.metrics import request_counts
 from ..plans.fixture import AS_OF, postings, table
 from ..plans.merge import ingest
 from ..schema import POSTING_COLS
-from ..sources.landing import append_batches, collected
-from ..sources.profiles import parse_profiles, request_grid
+from ..sources.landing import append_batches, collected, read_landing
+from ..sources.profiles import (
+    parse_profiles, read_written_profiles, request_grid, write_profiles)
 from ..sources.storage import fresh_path
-from ..sources.landing import read_landing
 from .base import over_postings, over_postings_and, query
 
 _SHOWN = ("id", "site", "title", "company", "date_posted", "max_amount", "job_level")
@@ -112,11 +112,29 @@ def batch_append(spark, sf):
 
 
 @query("request_counts", over_postings(
-    "SELECT query, location, count(*) AS collected FROM (SELECT job_type AS query, "
-    "coalesce(location, 'anywhere') AS location FROM postings WHERE job_type IS NOT NULL) "
+    "SELECT query, location, count(*) AS collected FROM (SELECT coalesce(job_type, 'any type') "
+    "AS query, coalesce(location, 'anywhere') AS location FROM postings) "
     "GROUP BY GROUPING SETS ((query, location), ())"))
 def counted_requests(spark, sf):
-    rows = postings(spark, sf).where(F.col("job_type").isNotNull())
-    return request_counts(rows.select(
-        F.col("job_type").alias("query"),
+    return request_counts(postings(spark, sf).select(
+        F.coalesce("job_type", F.lit("any type")).alias("query"),
         F.coalesce("location", F.lit("anywhere")).alias("location")))
+
+
+@query("profile_sink", "SELECT n_name AS profile, 24 AS hours_old, n_regionkey AS max_age_days, "
+       "n_name || '|' || CAST(n_nationkey AS VARCHAR) AS locations, "
+       "CASE WHEN n_nationkey % 2 = 0 THEN 'master' ELSE 'none' END AS degree_level FROM nation")
+def profile_sink(spark, sf):
+    """One profile per nation, written and read back; what is not set takes its default."""
+    nations = table(spark, sf, "nation")
+    texts = nations.select(F.col("n_name").alias("profile"), F.to_json(F.struct(
+        F.struct(F.array("n_name", F.col("n_nationkey").cast("string")).alias(
+            "locations_selected")).alias("collect"),
+        F.struct(F.col("n_regionkey").alias("max_age_days"), F.when(
+            F.col("n_nationkey") % 2 == 0, "master").alias("degree_level")).alias("filter"),
+    )).alias("json"))
+    folder = fresh_path(spark, "profiles")
+    write_profiles(parse_profiles(texts, "json", "profile"), folder)
+    return read_written_profiles(spark, folder).select(
+        "profile", "hours_old", "max_age_days",
+        F.array_join("locations_selected", "|").alias("locations"), "degree_level")

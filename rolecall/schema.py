@@ -6,28 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # The posting record, one field per column.
-_STRING_BEFORE_AMOUNTS = [
-    "id", "site", "job_url", "job_url_direct", "title", "company", "location",
-    "date_posted", "job_type", "salary_source", "interval",
-]
-_STRING_AFTER_AMOUNTS = [
-    "job_level", "job_function", "listing_type", "emails", "description",
-    "company_industry", "company_url", "company_logo", "company_url_direct",
-    "company_addresses", "company_num_employees", "company_revenue",
-    "company_description", "skills", "experience_range", "company_rating",
-    "company_reviews_count", "vacancy_count", "work_from_home_type",
-]
-
-POSTING = T.StructType(
-    [T.StructField(c, T.StringType()) for c in _STRING_BEFORE_AMOUNTS]
-    + [
-        T.StructField("min_amount", T.DoubleType()),
-        T.StructField("max_amount", T.DoubleType()),
-        T.StructField("currency", T.StringType()),
-        T.StructField("is_remote", T.BooleanType()),
-    ]
-    + [T.StructField(c, T.StringType()) for c in _STRING_AFTER_AMOUNTS]
-)
+POSTING = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("site", T.StringType()),
+    T.StructField("job_url", T.StringType()),
+    T.StructField("job_url_direct", T.StringType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("company", T.StringType()),
+    T.StructField("location", T.StringType()),
+    T.StructField("date_posted", T.StringType()),
+    T.StructField("job_type", T.StringType()),
+    T.StructField("salary_source", T.StringType()),
+    T.StructField("interval", T.StringType()),
+    T.StructField("min_amount", T.DoubleType()),
+    T.StructField("max_amount", T.DoubleType()),
+    T.StructField("currency", T.StringType()),
+    T.StructField("is_remote", T.BooleanType()),
+    T.StructField("job_level", T.StringType()),
+    T.StructField("job_function", T.StringType()),
+    T.StructField("listing_type", T.StringType()),
+    T.StructField("emails", T.StringType()),
+    T.StructField("description", T.StringType()),
+    T.StructField("company_industry", T.StringType()),
+    T.StructField("company_url", T.StringType()),
+    T.StructField("company_logo", T.StringType()),
+    T.StructField("company_url_direct", T.StringType()),
+    T.StructField("company_addresses", T.StringType()),
+    T.StructField("company_num_employees", T.StringType()),
+    T.StructField("company_revenue", T.StringType()),
+    T.StructField("company_description", T.StringType()),
+    T.StructField("skills", T.StringType()),
+    T.StructField("experience_range", T.StringType()),
+    T.StructField("company_rating", T.StringType()),
+    T.StructField("company_reviews_count", T.StringType()),
+    T.StructField("vacancy_count", T.StringType()),
+    T.StructField("work_from_home_type", T.StringType()),
+])
 POSTING_COLS = POSTING.fieldNames()
 
 # The fields kept once per collected source posting.

@@ -113,9 +113,15 @@ def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_profiles(profiles: DataFrame, folder: str) -> None:
-    """Write profiles as page -> key -> value documents, one folder entry per profile name."""
+    """Write profiles as page -> key -> value documents that hold their name, one a line."""
     pages = [F.struct(*keys).alias(page) for page, keys in PAGES.items()]
-    profiles.select("profile", *pages).write.partitionBy("profile").json(folder)
+    profiles.select("profile", *pages).write.json(folder)
+
+
+def read_written_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The profiles that ``write_profiles`` wrote."""
+    schema = T.StructType([T.StructField("profile", T.StringType()), *PROFILE_JSON])
+    return with_defaults(spark.read.schema(schema).json(folder), "profile")
 
 
 def request_grid(profiles: DataFrame, *keep: str) -> DataFrame:
