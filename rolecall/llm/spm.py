@@ -33,7 +33,8 @@ MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 LONG = 48
 IDS = T.StructField("piece_ids", T.ArrayType(T.IntegerType()))
-MEMO = 400_000  # distinct cuts a worker remembers between batches
+MEMO = 200_000  # distinct cuts a worker remembers between batches
+SLICE = 2 << 20  # bytes of text that are segmented in one go
 CUT = re.compile(rb" *[^ ]+| +")
 
 
@@ -298,7 +299,7 @@ def _mapped(docs: DataFrame, model: str, scores: str, added: list[T.StructField]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", SLICE):
                 more = use(shared.value, batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *more], [*batch.schema.names, *names])
