@@ -13,8 +13,9 @@ that lies ``o`` words left and ``DEPTH - o`` right of its anchor repeats whereve
 same; the smallest document of such a pair keeps it. Nodes compare words themselves, not hashes.
 
 A group with more than ``MOST`` anchors (a passage that a large part of the corpus shares) is split by
-longer prefixes, up to the whole window: each of its windows becomes a key of its own, and minima
-combine before the shuffle. So no task holds a group larger than ``MOST`` anchors, and no row is left out.
+longer prefixes, up to all the words: runs of its windows, and single windows where a run does not
+repeat, become keys of their own, and minima combine before the shuffle. So no task holds a group larger
+than ``MOST`` anchors, and no window is left out.
 
 Documents with equal texts are grown once: all but the one with the smallest id lose every word (if
 there are ``DEPTH`` at least). Null and empty texts have no words; documents without an id keep all
@@ -38,6 +39,7 @@ from .common import WordHashes, materialize, raw_texts, shingle_hashes, sliced
 DEPTH, PREFIX = 50, 8
 REACH = DEPTH - PREFIX  # furthest an anchor lies from the start of its window
 MOST = 500  # anchors in a group
+RUN = 8  # windows that are looked up at once in large groups
 TOGETHER = 20_000  # anchors whose trees are grown in one go
 
 
@@ -74,7 +76,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around each wanted anchor: its windows, and no more."""
     for whole in batches:
         for batch in sliced(whole, "text"):
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for doc, mark, text, wanted in zip(
                     batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(),
                     raw_texts(batch.column("text")), batch.column("wanted").to_pylist()):
@@ -82,13 +84,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in wanted:
                     around = b" ".join(words[w["first"]:w["last"] + DEPTH])
                     for column, value in zip(columns, (doc, mark, w["prefix"], w["place"], w["first"],
-                                                       w["last"], around)):
+                                                       w["last"], around, w["large"])):
                         column.append(value)
             kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int32(),
-                     pa.int32(), pa.binary()]
+                     pa.int32(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                ["doc_id", "mark", "prefix", "place", "first", "last", "words"])
+                ["doc_id", "mark", "prefix", "place", "first", "last", "words", "large"])
 
 
 def _refined(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -171,22 +173,50 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(pa.Table.from_batches(held))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the anchors, keyed by all its words."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the anchors in runs of up to ``RUN``: a key of all the run's words, one per window."""
     for batch in batches:
-        row, starts, keys = [], [], []
-        for i, (first, last, text) in enumerate(zip(
-                batch.column("first").to_pylist(), batch.column("last").to_pylist(),
-                batch.column("words").to_pylist())):
+        row, starts, keys, windows = [], [], [], []
+        for i, (place, first, last, text) in enumerate(zip(*(
+                batch.column(c).to_pylist() for c in ("place", "first", "last", "words")))):
             words = text.split()
-            for k in range(last - first + 1):
+            start = first
+            while start <= last:
+                # Runs end at fixed distances from the anchor, so equal passages have equal runs.
+                stop = min(last, place - (place - start) // RUN * RUN)
                 row.append(i)
-                starts.append(first + k)
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words[k:k + DEPTH])))
+                starts.append(start)
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words[start - first:stop - first + DEPTH])))
+                windows.append([xxhash.xxh3_128_digest(b" ".join(words[k:k + DEPTH]))
+                                for k in range(start - first, stop - first + 1)])
+                start = stop + 1
         taken = batch.select(["doc_id", "mark"]).take(pa.array(row, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [*taken.columns, pa.array(starts, pa.int32()), pa.array(keys, pa.binary())],
-            ["doc_id", "mark", "start", "window"])
+            [*taken.columns, pa.array(starts, pa.int32()), pa.array(keys, pa.binary()),
+             pa.array(windows, pa.list_(pa.binary()))], ["doc_id", "mark", "start", "run", "windows"])
+
+
+def _long_prefixes(around: DataFrame) -> DataFrame:
+    """Repeated spans of the anchors of large groups, by their whole words.
+
+    A run of windows that a smaller document has goes at once. Of the other runs (the first of their
+    kind, and those at the edges of a passage) every window is looked up; the smallest document with a
+    window is always among them.
+    """
+    runs = materialize(around.select("doc_id", "mark", "place", "first", "last", "words").mapInArrow(
+        _runs, "doc_id long, mark long, start int, run binary, windows array<binary>"), "runs")
+    low = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("low")), "low")
+    judged = materialize(runs.join(low, "run").select(
+        "doc_id", "mark", "start", "windows", (F.col("low") < F.col("doc_id")).alias("again")), "judged")
+    whole = judged.where("again").select(
+        "doc_id", "mark", "start", (F.col("start") + F.size("windows") + (DEPTH - 1)).alias("end"))
+    single = materialize(judged.where("not again").select(
+        "doc_id", "mark", "start", F.posexplode("windows").alias("k", "window"))
+        .select("doc_id", "mark", (F.col("start") + F.col("k")).alias("start"), "window"), "windows")
+    smallest = materialize(single.groupBy("window").agg(F.min("doc_id").alias("low")), "low")
+    edges = single.join(smallest, "window").where("low < doc_id").select(
+        "doc_id", "mark", "start", (F.col("start") + DEPTH).alias("end"))
+    return whole.union(edges)
 
 
 def spans(docs: DataFrame, most: int = MOST) -> DataFrame:
@@ -203,18 +233,11 @@ def spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     wanted = found.join(shared, "prefix").groupBy("doc_id", "mark").agg(
         F.collect_list(F.struct("prefix", "place", "first", "last", "large")).alias("wanted"))
     around = materialize(docs.join(wanted, ["doc_id", "mark"]).mapInArrow(
-        _cut, "doc_id long, mark long, prefix long, place int, first int, last int, words binary"), "around")
-    large = shared.where("large").select("prefix")
-    small = shared.where("not large").select("prefix")
-    grown = (around.join(small, "prefix", "left_semi").repartition("prefix").sortWithinPartitions("prefix")
-             .select("doc_id", "mark", "prefix", "place", "first", "last", "words")
+        _cut, "doc_id long, mark long, prefix long, place int, first int, last int, words binary, "
+        "large boolean"), "around")
+    grown = (around.where("not large").drop("large").repartition("prefix").sortWithinPartitions("prefix")
              .mapInArrow(_grown, "doc_id long, mark long, start int, end int"))
-    windows = materialize(around.join(large, "prefix", "left_semi").select("doc_id", "mark", "first", "last", "words")
-                          .mapInArrow(_windows, "doc_id long, mark long, start int, window binary"), "windows")
-    smallest = materialize(windows.groupBy("window").agg(F.min("doc_id").alias("low")), "smallest")
-    split = windows.join(smallest, "window").where("low < doc_id").select(
-        "doc_id", "mark", "start", (F.col("start") + DEPTH).alias("end"))
-    return grown.union(split)
+    return grown.union(_long_prefixes(around.where("large")))
 
 
 def _removed(words: int, runs: list) -> np.ndarray:
