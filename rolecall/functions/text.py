@@ -267,7 +267,8 @@ class _Markdown(HTMLParser):
         if tag == "dd":
             return f": {text}\n" if text else ""
         if tag == "blockquote":
-            return "\n\n" + "\n".join("> " + line for line in text.split("\n")) + "\n\n" if text else ""
+            quoted = "\n".join("> " + line for line in self.squeezed(text).split("\n"))
+            return f"\n\n{quoted}\n\n" if text else ""
         if tag == "pre":
             inner = body.strip("\n")
             return f"\n\n```\n{inner}\n```\n\n" if inner else ""
@@ -290,10 +291,13 @@ class _Markdown(HTMLParser):
     def result(self) -> str:
         while len(self.frames) > 1:
             self.close_frame()
-        text = "".join(self.frames[0][2]).replace("\x00", "* ")
+        return self.squeezed("".join(self.frames[0][2]).replace("\x00", "* ")).strip()
+
+    @staticmethod
+    def squeezed(text: str) -> str:
         while "\n\n\n" in text:
             text = text.replace("\n\n\n", "\n\n")
-        return text.strip()
+        return text
 
 
 def _to_markdown(html: str) -> str:

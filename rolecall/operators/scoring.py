@@ -33,15 +33,20 @@ def derive(df: DataFrame) -> DataFrame:
     }).drop("_place", "_folded")
 
 
+def rank_scores(order: Sequence[str], case_insensitive: bool = False) -> dict[str, int]:
+    """The score of each value that has one."""
+    scores = {v: len(order) - i for i, v in enumerate(order)}
+    if case_insensitive:
+        scores = {v.lower(): s for v, s in reversed(scores.items())}
+    return {**scores, "": -1}
+
+
 def rank_order_score(
     value: Column, order: Sequence[str], case_insensitive: bool = False
 ) -> Column:
     """n for the first listed value down to 1 for the last; empty -1, unlisted or null 0."""
-    scores = {v: len(order) - i for i, v in enumerate(order)}
-    if case_insensitive:
-        scores = {v.lower(): s for v, s in reversed(scores.items())}
-        value = F.lower(value)
-    scores[""] = -1
+    scores = rank_scores(order, case_insensitive)
+    value = F.lower(value) if case_insensitive else value
     lookup = F.create_map(*chain.from_iterable((F.lit(v), F.lit(s)) for v, s in scores.items()))
     return F.coalesce(lookup[value], F.lit(0)).cast("int")
 
@@ -52,6 +57,19 @@ def degree_score(weights: Sequence[int]) -> Column:
     return (ba + ma + phd).cast("int")
 
 
+def with_hits(df: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Add ``_hits``: the places of the terms found in title or description."""
+    folded = df.withColumns({"_title": fold(F.col("title")), "_text": fold(F.col("description"))})
+    hits = [
+        F.when(
+            never_null(search_folded(F.col("_title"), F.col("title"), term))
+            | never_null(search_folded(F.col("_text"), F.col("description"), term)), F.lit(i))
+        for i, term in enumerate(terms)
+    ]
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+    return folded.withColumn("_hits", found).drop("_title", "_text")
+
+
 def with_keywords(df: DataFrame, scored_terms: Mapping[int, Sequence[str]]) -> DataFrame:
     """Add ``keyword_score`` and ``keywords``.
 
@@ -63,14 +81,7 @@ def with_keywords(df: DataFrame, scored_terms: Mapping[int, Sequence[str]]) -> D
         return df.withColumns({
             "keyword_score": F.lit(0), "keywords": F.array().cast("array<string>")})
     columns = df.columns
-    folded = df.withColumns({"_title": fold(F.col("title")), "_text": fold(F.col("description"))})
-    hits = [
-        F.when(
-            never_null(search_folded(F.col("_title"), F.col("title"), term))
-            | never_null(search_folded(F.col("_text"), F.col("description"), term)), F.lit(i))
-        for i, (term, _) in enumerate(terms)
-    ]
-    found = folded.withColumn("_hits", F.array_compact(F.array(*hits)))
+    found = with_hits(df, [term for term, _ in terms])
     names = F.array(*[F.lit(term.replace("\\", "")) for term, _ in terms])
     weights = F.array(*[F.lit(weight) for _, weight in terms])
     return found.select(

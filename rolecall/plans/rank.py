@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import active, apply_filters, profile_filters
-from ..operators.scoring import derive, score
+from ..operators.scoring import derive, rank_scores, score, with_hits
 from ..operators.sorting import standard_order
 from ..sources.profiles import Profile
 
@@ -29,15 +30,36 @@ def rank(
     return scored_view(postings, profile, as_of).orderBy(*standard_order(lead, ascending))
 
 
+# One profile as the scores need it; a term is named by its place among all profiles' terms.
+_PROFILES = ("array<struct<profile:string, sites:map<string,int>, states:map<string,int>, "
+             "degrees:array<int>, terms:array<struct<place:int, name:string, weight:int>>>>")
+
+
 def score_profiles(derived: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
-    """Scores of many profiles in one pass: one row per posting and profile."""
+    """Scores of many profiles in one pass: one row per posting and profile.
+
+    Each distinct term is looked for once however many profiles list it, and the profiles are one
+    literal, so the plan does not grow with their number.
+    """
+    listed = {name: [(t, w) for w, terms in p.scored_terms.items() for t in terms]
+              for name, p in profiles.items()}
+    place = {t: i for i, t in enumerate(dict.fromkeys(t for ts in listed.values() for t, _ in ts))}
+    rows = [{
+        "profile": name, "sites": rank_scores(p.sites_selected),
+        "states": rank_scores(p.location_order_selected), "degrees": list(p.degree_values),
+        "terms": [{"place": place[t], "name": t.replace("\\", ""), "weight": w} for t, w in listed[name]],
+    } for name, p in profiles.items()]
     columns = derived.columns
-    blocks: list[Column] = []
-    frame = derived
-    for i, (name, profile) in enumerate(profiles.items()):
-        added = ("site_score", "location_score", "degree_score", "keyword_score", "keywords")
-        frame = score(frame, profile).withColumn(
-            f"_block{i}", F.struct(F.lit(name).alias("profile"), *added)).drop(*added)
-        blocks.append(F.col(f"_block{i}"))
-    return frame.select(*columns, F.explode(F.array(*blocks)).alias("_b")).select(
-        *columns, "_b.*")
+    each = with_hits(derived, list(place)).select(
+        *columns, "_hits", F.explode(F.from_json(F.lit(json.dumps(rows)), _PROFILES)).alias("_p"))
+    found = each.withColumn(
+        "_terms", F.filter("_p.terms", lambda t: F.array_contains("_hits", t["place"])))
+    flags = [F.col(c).cast("int") * F.get("_p.degrees", i)
+             for i, c in enumerate(("has_ba", "has_ma", "has_phd"))]
+    return found.select(
+        *columns, "_p.profile",
+        F.coalesce(F.col("_p.sites")[F.col("site")], F.lit(0)).alias("site_score"),
+        F.coalesce(F.col("_p.states")[F.col("state")], F.lit(0)).alias("location_score"),
+        (flags[0] + flags[1] + flags[2]).alias("degree_score"),
+        F.aggregate("_terms", F.lit(0), lambda a, t: a + t["weight"]).alias("keyword_score"),
+        F.col("_terms.name").alias("keywords"))

@@ -124,7 +124,40 @@ def cleaned(spark, sf):
     return sections(clean, "md", "doc_id")
 
 
-@query("pages_markdown")
+def _plain(html: str) -> str:
+    """DuckDB expression for the markdown of text without tags; null if there is none."""
+    text = html
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"),
+                         ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    text = f"replace(replace({text}, '*', '\\*'), '_', '\\_')"
+    return f"nullif(trim(regexp_replace({text}, '[ \\n\\r]+', ' ', 'g')), '')"
+
+
+# The layout of the given pages: links, an advertisement, a title, paragraphs, some in bold and
+# without end tags, and a footer.
+_PAGES_SQL = f"""
+WITH cut AS (
+  SELECT page_id, url,
+    regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1) AS hrefs,
+    regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS names,
+    regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad,
+    regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS head,
+    regexp_extract_all(html, '<p><b>[^<]*<br>|<p>[^<]*</p>') AS paragraphs,
+    regexp_extract(html, '<footer>([^<]*)</footer>', 1) AS footer
+  FROM pages)
+SELECT page_id, url, concat_ws(chr(10) || chr(10),
+    array_to_string(list_transform(list_zip(hrefs, names), lambda x:
+      '* [' || {_plain("x[2]")} || '](' || x[1] || ' "' || x[1] || '")'), chr(10)),
+    {_plain("ad")}, '# ' || {_plain("head")},
+    nullif(array_to_string(list_filter(list_transform(paragraphs, lambda x:
+      CASE WHEN starts_with(x, '<p><b>') THEN '__' || {_plain("x[7:-5]")} || '__'
+      ELSE {_plain("x[4:-5]")} END), lambda x: x IS NOT NULL), chr(10) || chr(10)), ''),
+    {_plain("footer")}) AS markdown
+FROM cut"""
+
+
+@query("pages_markdown", _PAGES_SQL)
 def pages_markdown(spark, sf):
     pages = spread(table(spark, sf, "pages"))
     return pages.select("page_id", "url", html_to_markdown(F.col("html")).alias("markdown"))

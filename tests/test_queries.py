@@ -21,7 +21,7 @@ def db():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"clean_description", "pages_markdown"}
+    assert set(QUERIES) - set(ORACLES) == {"clean_description"}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
