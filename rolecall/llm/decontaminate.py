@@ -9,8 +9,10 @@ writes the word under it and moves on by one or none, as the word's coin for tha
 at a small edit distance then agree in most places (small Hamming distance), so equal samples of the
 places, drawn several times from several walks, find them. Windows have the size of the shortest item.
 An item gives one at each of its words; documents one at every ``window // 4`` words, so every
-alignment meets. Each match is then verified by the exact edit distance of the whole item to the part
-of the document around it. Sampling misses few: recall is measured in the tests.
+alignment meets. Of windows that meet, those are kept whose embeddings agree in half of the places where
+the walk comes to a word, four at least (their Hamming distance, without the places where a walk waits on
+a frequent word), and each is then verified by the exact edit distance of the whole item to the part of
+the document around it. Sampling misses few: recall is measured in the tests.
 
 Items are held by every task, in blocks of at most ``MOST_ITEMS`` items and ``MOST_BYTES`` bytes; a
 larger benchmark takes several passes over the documents. Items with fewer than ``SHORTEST`` words, or
@@ -33,7 +35,8 @@ from .common import WordHashes, raw_texts, sliced
 
 SIMILARITY = 0.8
 SHORTEST, LARGEST = 8, 16  # words in a window
-WALKS, SAMPLES, PLACES = 2, 8, 5
+WALKS, SAMPLES, PLACES = 2, 8, 6
+AGREEING, FEWEST = 0.5, 4  # share and number of words come to in which a candidate has to agree
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
 TABLE = 20  # bits of the first look-up
 PUNCTUATION = string.punctuation.encode()
@@ -61,26 +64,37 @@ class Embedding:
         rng = np.random.default_rng(seed)
         self.window, self.steps = window, 3 * window // 2
         self.coins = rng.integers(0, 1 << 63, (WALKS, self.steps), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.samples = [[set(rng.choice(self.steps, PLACES, replace=False).tolist())
+        # One place from each of PLACES stretches, as neighbouring places often hold the same word.
+        edges = np.linspace(0, self.steps, PLACES + 1).astype(int)
+        self.samples = [[{int(rng.integers(a, b)) for a, b in zip(edges, edges[1:])}
                          for _ in range(SAMPLES)] for _ in range(WALKS)]
 
+    def walk(self, walk: int, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        """What a walk writes at each step, for all windows, and whether it has just come there.
+
+        ``words`` goes on past the ends.
+        """
+        at, ends = starts.copy(), np.minimum(starts + self.window, ends)
+        moved = np.ones(len(at), np.int64)
+        for step in range(self.steps):
+            here = words[at]
+            here[at >= ends] = 0
+            yield here, moved
+            moved = ((here * self.coins[walk, step]) >> np.uint64(63)).astype(np.int64)
+            at += moved
+            np.minimum(at, ends, out=at)
+
     def signatures(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sampled signatures (WALKS * SAMPLES, windows). ``words`` goes on for a window past the ends."""
+        """Sampled signatures (WALKS * SAMPLES, windows)."""
         out = np.zeros((WALKS * SAMPLES, len(starts)), np.uint64)
-        ends = np.minimum(starts + self.window, ends)
         for walk in range(WALKS):
-            at = starts.copy()
-            for step in range(self.steps):
-                here = words[at]
-                here[at >= ends] = 0
+            for step, (here, _) in enumerate(self.walk(walk, words, starts, ends)):
                 for s, places in enumerate(self.samples[walk]):
                     if step in places:
                         row = out[walk * SAMPLES + s]
                         row ^= here
                         row *= np.uint64(0xBF58476D1CE4E5B9)
                         row ^= row >> np.uint64(29)
-                at += ((here * self.coins[walk, step]) >> np.uint64(63)).astype(np.int64)
-                np.minimum(at, ends, out=at)
         return out
 
 
@@ -118,15 +132,32 @@ class Items:
             owner.append(np.stack([np.full(len(first), k), first]))
             flat += [w, np.zeros(window + 1, np.uint64)]
             base += len(w) + window + 1
-        found = self.embedding.signatures(
-            np.concatenate(flat), np.concatenate(starts), np.concatenate(ends))
-        owner = np.concatenate(owner, axis=1)
+        windows = np.concatenate(flat), np.concatenate(starts), np.concatenate(ends)
+        self.owner = np.concatenate(owner, axis=1)
+        self.embedded = [np.array([here for here, _ in self.embedding.walk(k, *windows)]) for k in range(WALKS)]
         self.tables = []
-        for row in found:
+        for row in self.embedding.signatures(*windows):
             order = np.argsort(row, kind="stable")
             mask = np.zeros(1 << TABLE, bool)
             mask[row >> np.uint64(64 - TABLE)] = True
-            self.tables.append((mask, row[order], owner[:, order]))
+            self.tables.append((mask, row[order], order))
+
+    def _meeting(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        """Arrays of windows of the text and of items that share a signature and agree enough."""
+        for k, (values, (mask, keys, order)) in enumerate(
+                zip(self.embedding.signatures(words, starts, ends), self.tables)):
+            near = np.flatnonzero(mask[values >> np.uint64(64 - TABLE)])
+            low, high = (np.searchsorted(keys, values[near], side) for side in ("left", "right"))
+            count = high - low
+            mine = np.repeat(near, count)
+            theirs = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(mine))]
+            agreeing, seen = np.zeros((2, len(mine)), np.int64)
+            steps = self.embedding.walk(k // SAMPLES, words, starts[mine], ends[mine])
+            for step, (here, moved) in enumerate(steps):
+                agreeing += moved * (here == self.embedded[k // SAMPLES][step, theirs])
+                seen += moved
+            good = agreeing >= np.maximum(FEWEST, AGREEING * seen)
+            yield mine[good], theirs[good]
 
     def leaks(self, texts: list[np.ndarray]) -> list[dict[int, int]]:
         """Per text, item id -> fewest edits, of the items it leaks."""
@@ -144,13 +175,9 @@ class Items:
         first = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * self.stride
         ends = (base + sizes)[row]
         pairs = set()
-        for values, (mask, keys, owner) in zip(
-                self.embedding.signatures(flat, base[row] + first, ends), self.tables):
-            near = np.flatnonzero(mask[values >> np.uint64(64 - TABLE)])
-            lo, hi = (np.searchsorted(keys, values[near], side) for side in ("left", "right"))
-            for w, a, b in zip(near[lo < hi], lo[lo < hi], hi[lo < hi]):
-                for item, offset in owner[:, a:b].T:
-                    pairs.add((int(row[w]), int(item), int(first[w] - offset)))
+        for mine, theirs in self._meeting(flat, base[row] + first, ends):
+            item, offset = self.owner[:, theirs]
+            pairs.update(zip(row[mine].tolist(), item.tolist(), (first[mine] - offset).tolist()))
         checked: dict[tuple[int, int], int] = {}
         for text, item, start in sorted(pairs):
             item_id, words = self.items[item]
