@@ -71,7 +71,11 @@ def canonical(text: Column) -> Column:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth): longest chain of references behind each call, null on a cycle."""
+    """(conv_id, call_id, depth): longest chain of references behind each call, without those behind a cycle.
+
+    Chains of single references are cut short by pointer doubling; only calls with several references
+    go level by level.
+    """
     valid = calls.where(F.try_parse_json("arguments").isNotNull())
     members = valid.select(
         "conv_id", "call_id", F.explode(F.from_json("arguments", "map<string,string>")).alias("key", "value"))
@@ -79,28 +83,50 @@ def depths(calls: DataFrame) -> DataFrame:
         "conv_id", "call_id", F.get_json_object("value", "$['$ref']").alias("ref")).where("ref is not null")
     known = calls.select("conv_id", "call_id").distinct()
     edges = materialize(refs.join(known.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).distinct(), "refs")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = known.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0).cast("long"))
-    left = edges
-    settled = materialize(done, "depths")
-    level = 0
-    while left.limit(1).count():
-        level += 1
-        left = materialize(left.join(
-            settled.where(F.col("depth") == level - 1).select("conv_id", F.col("call_id").alias("ref")),
-            ["conv_id", "ref"], "left_anti"), "refs")
-        ready = (edges.select("conv_id", "call_id").distinct()
-                 .join(left.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-                 .join(settled, ["conv_id", "call_id"], "left_anti"))
-        fresh = materialize(ready.withColumn("depth", F.lit(level).cast("long")), "depths")
-        if not fresh.limit(1).count():
-            break  # only cycles are left
-        settled = settled.union(fresh)
-    return settled
+    counted = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("up"))
+    straight = _chains(counted.where("n = 1").select("conv_id", "call_id", "up", F.lit(1).cast("long").alias("w")))
+    depth = known.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0).cast("long"))
+    depth = materialize(depth, "depths")
+    # What calls with several references wait for: the ends of their references' chains.
+    ends = straight.select("conv_id", F.col("call_id").alias("ref"), "up", "w")
+    links = edges.join(counted.where("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"])
+    links = materialize(links.join(ends, ["conv_id", "ref"], "left").select(
+        "conv_id", "call_id", F.coalesce("up", "ref").alias("up"),
+        (F.coalesce("w", F.lit(0)) + 1).alias("w")), "links")
+    fresh = depth
+    while links.limit(1).count() and fresh.limit(1).count():
+        met = links.join(depth.withColumnRenamed("call_id", "up"), ["conv_id", "up"], "left")
+        ready = met.groupBy("conv_id", "call_id").agg(
+            F.max(F.col("depth") + F.col("w")).alias("depth"), F.bool_and(F.col("depth").isNotNull()).alias("all"))
+        fresh = materialize(ready.where("all").drop("all").join(
+            depth.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "depths")
+        depth = depth.union(fresh)
+    hanging = straight.join(depth.withColumnRenamed("call_id", "up"), ["conv_id", "up"]).select(
+        "conv_id", "call_id", (F.col("depth") + F.col("w")).alias("depth"))
+    return depth.union(hanging)
+
+
+def _chains(single: DataFrame) -> DataFrame:
+    """For calls with one reference, (conv_id, call_id, up, w): the end of their chain and how far it is.
+
+    Pointers double every round, so a chain of n calls takes log n rounds. Chains that end in a cycle
+    are left out.
+    """
+    chain = materialize(single, "chains")
+    for _ in range(chain.count().bit_length() + 1):
+        onward = chain.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("w").alias("more"))
+        moved = materialize(chain.join(onward, ["conv_id", "up"], "left").select(
+            "conv_id", "call_id", F.coalesce("next", "up").alias("up"),
+            (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.col("next").isNotNull().alias("moved")), "chains")
+        chain = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
+            break
+    return chain.join(chain.select("conv_id", F.col("call_id").alias("up")), ["conv_id", "up"], "left_anti")
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """(conv_id, call_id, turn, name, depth, linked, result_turn, problems, message) per call and result."""
+    calls = calls.select("conv_id", "call_id", "turn", "name", "arguments")
     checked = calls.withColumn("problems", problems(F.col("name"), F.col("arguments"), schemas))
     answers = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content")
     rows = (checked.join(depths(calls), ["conv_id", "call_id"], "left")
