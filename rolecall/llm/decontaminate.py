@@ -4,15 +4,11 @@ A document leaks an item if some run of its words is within ``floor((1 - similar
 of the item's n words. Words are compared lower-cased (A-Z) and without ASCII punctuation at their
 ends; tokens of punctuation alone are skipped.
 
-Candidates come from the CGK embedding: a window of words is read by a random walk that, at each step,
-writes the word under it and moves on by one or none, as the word's coin for that step says. Windows
-at a small edit distance then agree in most places (small Hamming distance), so equal samples of the
-places, drawn several times from several walks, find them. Windows have the size of the shortest item.
-An item gives one at each of its words; documents one at every ``window // 4`` words, so every
-alignment meets. Of windows that meet, those are kept whose embeddings agree in half of the places where
-the walk comes to a word, four at least (their Hamming distance, without the places where a walk waits on
-a frequent word), and each is then verified by the exact edit distance of the whole item to the part of
-the document around it. Sampling misses few: recall is measured in the tests.
+Nothing is sampled. An item with at most k edits, cut into k + 1 parts, has a part without an edit, so
+some part stands in the document word for word. Each part's first words, ``LONGEST`` at most, are a seed.
+Every place of a document that holds a seed says where the item would start, to within k words. It is a
+candidate if all but k of the item's words are within k words of their place, as any leak's are, and is
+then verified by the exact edit distance of the whole item to the part of the document around it.
 
 Items are held by every task, in blocks of at most ``MOST_ITEMS`` items and ``MOST_BYTES`` bytes; a
 larger benchmark takes several passes over the documents. Items with fewer than ``SHORTEST`` words, or
@@ -31,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, raw_texts, sliced
+from .common import WordHashes, mix, raw_texts, sliced
 
 SIMILARITY = 0.8
-SHORTEST, LARGEST = 8, 16  # words in a window
-WALKS, SAMPLES, PLACES = 2, 8, 6
-AGREEING, FEWEST = 0.5, 4  # share and number of words come to in which a candidate has to agree
+SHORTEST = 8  # words in an item
+LONGEST = 8  # words in a seed
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
 TABLE = 20  # bits of the first look-up
+CANDIDATES = 1 << 20  # places that are compared in one go
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -57,45 +53,14 @@ class _Words(WordHashes):
         return hashes[hashes > 0]
 
 
-class Embedding:
-    """CGK walks over windows and the sampled places of each."""
-
-    def __init__(self, window: int, seed: int = 42):
-        rng = np.random.default_rng(seed)
-        self.window, self.steps = window, 3 * window // 2
-        self.coins = rng.integers(0, 1 << 63, (WALKS, self.steps), np.uint64) * np.uint64(2) + np.uint64(1)
-        # One place from each of PLACES stretches, as neighbouring places often hold the same word.
-        edges = np.linspace(0, self.steps, PLACES + 1).astype(int)
-        self.samples = [[{int(rng.integers(a, b)) for a, b in zip(edges, edges[1:])}
-                         for _ in range(SAMPLES)] for _ in range(WALKS)]
-
-    def walk(self, walk: int, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
-        """What a walk writes at each step, for all windows, and whether it has just come there.
-
-        ``words`` goes on past the ends.
-        """
-        at, ends = starts.copy(), np.minimum(starts + self.window, ends)
-        moved = np.ones(len(at), np.int64)
-        for step in range(self.steps):
-            here = words[at]
-            here[at >= ends] = 0
-            yield here, moved
-            moved = ((here * self.coins[walk, step]) >> np.uint64(63)).astype(np.int64)
-            at += moved
-            np.minimum(at, ends, out=at)
-
-    def signatures(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sampled signatures (WALKS * SAMPLES, windows)."""
-        out = np.zeros((WALKS * SAMPLES, len(starts)), np.uint64)
-        for walk in range(WALKS):
-            for step, (here, _) in enumerate(self.walk(walk, words, starts, ends)):
-                for s, places in enumerate(self.samples[walk]):
-                    if step in places:
-                        row = out[walk * SAMPLES + s]
-                        row ^= here
-                        row *= np.uint64(0xBF58476D1CE4E5B9)
-                        row ^= row >> np.uint64(29)
-        return out
+def _runs(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ascending sizes, the hash of every run of so many words."""
+    out = np.zeros(len(hashes), np.uint64)
+    for i in range(min(max(sizes), len(hashes))):
+        n = len(hashes) - i
+        out = mix(out[:n] + hashes[i:] + np.uint64(0x9E3779B97F4A7C15))
+        if i + 1 in sizes:
+            yield i + 1, out
 
 
 def edits(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -114,83 +79,111 @@ class Items:
     """A block of benchmark items, ready for look-up."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
+        if not 0 < similarity <= 1:
+            raise ValueError("similarity has to be above 0 and at most 1")
         hashes = _Words()
         words = [(i, hashes.text((t or "").encode())) for i, t in items]
         self.items = [(i, w) for i, w in words if len(w) >= SHORTEST]
         if not self.items:
             return
-        window = min(LARGEST, min(len(w) for _, w in self.items))
-        self.window, self.stride = window, max(1, window // 4)
-        self.embedding = Embedding(window)
-        self.allowed = [math.floor((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
-        flat, starts, ends, owner = [], [], [], []
-        base = 0
-        for k, (_, w) in enumerate(self.items):
-            first = np.arange(len(w) - window + self.stride)
-            starts.append(base + first)
-            ends.append(np.full(len(first), base + len(w)))
-            owner.append(np.stack([np.full(len(first), k), first]))
-            flat += [w, np.zeros(window + 1, np.uint64)]
-            base += len(w) + window + 1
-        windows = np.concatenate(flat), np.concatenate(starts), np.concatenate(ends)
-        self.owner = np.concatenate(owner, axis=1)
-        self.embedded = [np.array([here for here, _ in self.embedding.walk(k, *windows)]) for k in range(WALKS)]
-        self.tables = []
-        for row in self.embedding.signatures(*windows):
-            order = np.argsort(row, kind="stable")
+        self.sizes = np.array([len(w) for _, w in self.items])
+        self.allowed = np.array([math.floor((1 - similarity) * n + 1e-9) for n in self.sizes])
+        self.words, self.base = np.concatenate([w for _, w in self.items]), np.cumsum(self.sizes) - self.sizes
+        seeds: dict[int, list] = {}
+        for k, ((_, w), most) in enumerate(zip(self.items, self.allowed)):
+            edges = np.arange(most + 2) * len(w) // (most + 1)
+            lengths = np.minimum(np.diff(edges), LONGEST)
+            for size, runs in _runs(w, sorted(set(lengths.tolist()))):
+                at = edges[:-1][lengths == size]
+                seeds.setdefault(size, []).append((runs[at], np.full(len(at), k), at))
+        self.tables = {}
+        for size in sorted(seeds):
+            keys, item, offset = (np.concatenate(x) for x in zip(*seeds[size]))
+            order = np.argsort(keys, kind="stable")
             mask = np.zeros(1 << TABLE, bool)
-            mask[row >> np.uint64(64 - TABLE)] = True
-            self.tables.append((mask, row[order], order))
+            mask[keys >> np.uint64(64 - TABLE)] = True
+            self.tables[size] = mask, keys[order], item[order], offset[order]
+
+    def _meeting(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        """Arrays of texts, items and where they would start in ``words``, a bounded number at a time.
 
-    def _meeting(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
-        """Arrays of windows of the text and of items that share a signature and agree enough."""
-        for k, (values, (mask, keys, order)) in enumerate(
-                zip(self.embedding.signatures(words, starts, ends), self.tables)):
+        ``ends`` are the texts' ends in ``words``.
+        """
+        for size, values in _runs(words, list(self.tables)):
+            mask, keys, items, offsets = self.tables[size]
             near = np.flatnonzero(mask[values >> np.uint64(64 - TABLE)])
+            text = np.searchsorted(ends, near, "right")
             low, high = (np.searchsorted(keys, values[near], side) for side in ("left", "right"))
-            count = high - low
-            mine = np.repeat(near, count)
-            theirs = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(mine))]
-            agreeing, seen = np.zeros((2, len(mine)), np.int64)
-            steps = self.embedding.walk(k // SAMPLES, words, starts[mine], ends[mine])
-            for step, (here, moved) in enumerate(steps):
-                agreeing += moved * (here == self.embedded[k // SAMPLES][step, theirs])
-                seen += moved
-            good = agreeing >= np.maximum(FEWEST, AGREEING * seen)
-            yield mine[good], theirs[good]
+            count = np.where(near + size <= ends[text], high - low, 0)
+            most = np.cumsum(count)
+            first = 0
+            while first < len(near):
+                before = most[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(most, before + CANDIDATES, "right")))
+                of = slice(first, last)
+                seed = np.repeat(low[of] - most[of] + count[of], count[of]) + np.arange(before, most[last - 1])
+                yield np.repeat(text[of], count[of]), items[seed], np.repeat(near[of], count[of]) - offsets[seed]
+                first = last
+
+    def _likely(self, words: np.ndarray, lows: np.ndarray, highs: np.ndarray, items: np.ndarray,
+                starts: np.ndarray) -> np.ndarray:
+        """Which candidates have all but the allowed number of words within that number of their places.
+
+        ``words`` ends with a zero. ``lows`` and ``highs`` bound the candidates' texts.
+        """
+        good = np.zeros(len(starts), bool)
+        for most in np.unique(self.allowed[items]):
+            these = np.flatnonzero(self.allowed[items] == most)
+            shifts = np.arange(-most, most + 1)
+            step = max(1, CANDIDATES // len(shifts))
+            for part in range(0, len(these), step):
+                left, place = these[part:part + step], 0
+                missing = np.zeros(len(left), np.int64)
+                while len(left):
+                    item = items[left]
+                    at = (starts[left] + place)[:, None] + shifts
+                    at[(at < lows[left, None]) | (at >= highs[left, None])] = len(words) - 1
+                    missing += (words[at] != self.words[self.base[item] + place][:, None]).all(axis=1)
+                    place += 1
+                    done = self.sizes[item] == place
+                    good[left[done & (missing <= most)]] = True
+                    going = ~done & (missing <= most)
+                    left, missing = left[going], missing[going]
+        return good
 
     def leaks(self, texts: list[np.ndarray]) -> list[dict[int, int]]:
         """Per text, item id -> fewest edits, of the items it leaks."""
         out: list[dict[int, int]] = [{} for _ in texts]
-        if not self.items:
+        ends = np.cumsum([len(w) for w in texts], dtype=np.int64)
+        if not self.items or not len(ends) or not ends[-1]:
             return out
-        pad = np.zeros(self.window + 1, np.uint64)
-        sizes = np.array([len(w) for w in texts], np.int64)
-        counts = np.where(sizes > 0, (np.maximum(sizes - self.window, 0) + self.stride) // self.stride, 0)
-        if not counts.sum():
-            return out
-        flat = np.concatenate([x for w in texts for x in (w, pad)])
-        base = np.concatenate([[0], np.cumsum(sizes + len(pad))])[:-1]
-        row = np.repeat(np.arange(len(texts)), counts)
-        first = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * self.stride
-        ends = (base + sizes)[row]
-        pairs = set()
-        for mine, theirs in self._meeting(flat, base[row] + first, ends):
-            item, offset = self.owner[:, theirs]
-            pairs.update(zip(row[mine].tolist(), item.tolist(), (first[mine] - offset).tolist()))
-        checked: dict[tuple[int, int], int] = {}
-        for text, item, start in sorted(pairs):
-            item_id, words = self.items[item]
-            most = self.allowed[item]
-            if out[text].get(item_id) == 0 or start <= checked.get((text, item), -1 << 60):
-                continue
-            low, high = max(0, start - most - self.stride), start + len(words) + most + self.stride
-            fewest, _ = edits(words, texts[text][low:high])
-            checked[text, item] = start + self.stride  # the stretch just read covers these starts
+        base = np.concatenate([[0], ends[:-1]])
+        words = np.concatenate([*texts, np.zeros(1, np.uint64)])
+        places: dict[tuple[int, int], set] = {}
+        for text, item, start in self._meeting(words[:-1], ends):
+            good = self._likely(words, base[text], ends[text], item, start)
+            text, item, start = text[good], item[good], start[good] - base[text[good]]
+            for t, k, at in zip(text.tolist(), item.tolist(), start.tolist()):
+                places.setdefault((t, k), set()).add(at)
+        for (text, item), starts in places.items():
+            item_id, most = self.items[item][0], int(self.allowed[item])
+            fewest = min(n for low, high in self._stretches(item, starts)
+                         for n in edits(self.items[item][1], texts[text][max(0, low):high])[:1])
             if fewest <= most and fewest < out[text].get(item_id, most + 1):
                 out[text][item_id] = fewest
         return out
 
+    def _stretches(self, item: int, starts: set[int]) -> list[list[int]]:
+        """The words in which the item, starting there or nearby, can lie; overlapping stretches in one."""
+        out: list[list[int]] = []
+        for start in sorted(starts):
+            low, high = start - self.allowed[item], start + self.sizes[item] + self.allowed[item]
+            if out and low <= out[-1][1]:
+                out[-1][1] = high
+            else:
+                out.append([low, high])
+        return out
+
 
 def _blocks(items: DataFrame, similarity: float) -> Iterator[Items]:
     """The benchmark in blocks of bounded size."""

@@ -222,6 +222,23 @@ def test_benchmarks_in_passes(spark, leaky, monkeypatch):
     assert not any(r["item_ids"] for r in decontaminate.find(frame, bench.where("false")).collect())
 
 
+def edited(rng, part, most):
+    for k in sorted(rng.sample(range(len(part)), most), reverse=True):
+        part[k:k + 1] = rng.choice([[], ["edit"], [part[k], "more"]])
+    return part
+
+
+@pytest.mark.parametrize("n", [8, 10, 14, 15, 16, 18, 20, 24, 25, 50])
+def test_every_leak_is_found_at_the_full_fifth_of_edits(n):
+    rng = random.Random(n)
+    items = [(i, " ".join(words(rng, n, 5000))) for i in range(60)]
+    block, hashes = decontaminate.Items(items), decontaminate._Words()
+    texts = [" ".join([*words(rng, 30, 5000), *edited(rng, t.split(), n // 5), *words(rng, 30, 5000)]) for _, t in items]
+    found = block.leaks([hashes.text(t.encode()) for t in texts])
+    for (i, item), text, leaks in zip(items, texts, found):
+        assert leaks.get(i) == plain_edits(item, text)[0] <= n // 5
+
+
 def test_word_hashes_stay_bounded(monkeypatch):
     monkeypatch.setattr(WordHashes, "LIMIT", 10)
     hashes = WordHashes()
