@@ -239,6 +239,16 @@ def test_every_leak_is_found_at_the_full_fifth_of_edits(n):
         assert leaks.get(i) == plain_edits(item, text)[0] <= n // 5
 
 
+@pytest.mark.parametrize("before", range(9))
+@pytest.mark.parametrize("after", range(5))
+def test_shortest_item_is_found_at_every_offset_from_the_end(before, after):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, 16, 5000))) for i in range(40)]
+    block, hashes = decontaminate.Items(items), decontaminate._Words()
+    texts = [" ".join([*["before"] * before, item, *["after"] * after]) for _, item in items]
+    assert block.leaks([hashes.text(t.encode()) for t in texts]) == [{i: 0} for i, _ in items]
+
+
 def test_word_hashes_stay_bounded(monkeypatch):
     monkeypatch.setattr(WordHashes, "LIMIT", 10)
     hashes = WordHashes()
