@@ -65,8 +65,9 @@ def _tallied(texts: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.
         yield n, keys, counts
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Write (block, doc_id, text) once, blocks bounded in bytes."""
+def blocks(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Write (block, doc_id, text) once, blocks bounded in bytes (``BLOCK_BYTES`` unless given)."""
+    most = most or BLOCK_BYTES
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +75,9 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         block, held = TaskContext.get().partitionId() << 32, 0
         for whole in batches:
-            for batch in sliced(whole, "text", BLOCK_BYTES):
+            for batch in sliced(whole, "text", most):
                 size = int(buffers(batch.column("text"))[0][-1])
-                if held + size > BLOCK_BYTES and held:
+                if held + size > most and held:
                     block, held = block + 1, 0
                 held += size
                 yield pa.RecordBatch.from_arrays(

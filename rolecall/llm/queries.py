@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, near, ngrams, quality, repeats, spm, topk, urls
+from . import chat, decontaminate, langid, near, ngrams, quality, repeats, spm, topk, urls, wordgrams
 from .common import held_out, materialize, table
 
 QUERIES, ORACLES = {}, {}
@@ -215,3 +215,29 @@ FROM documents LEFT JOIN per USING (doc_id)
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log score of every document's bytes against counts of all documents."""
     return ngrams.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+e AS (SELECT doc_id, len(ws) AS b, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+f AS (
+  SELECT doc_id, b, i, w AS g1, lag(w) OVER o || ' ' || w AS g2, lag(w, 2) OVER o || ' ' || lag(w) OVER o || ' ' || w AS g3
+  FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, b, i, unnest([1, 2, 3]) AS n, unnest([g1, g2, g3]) AS gram FROM f),
+own AS (SELECT doc_id, n, gram, count(*) AS k FROM g WHERE gram IS NOT NULL GROUP BY doc_id, n, gram),
+other AS (SELECT doc_id, n, gram, sum(k) OVER (PARTITION BY n, gram) - k AS k FROM own),
+p AS (SELECT doc_id, b, i, n, k FROM g JOIN other USING (doc_id, n, gram)),
+best AS (
+  SELECT p.doc_id, p.i, any_value(p.b) AS b, max(p.n) AS n, arg_max(p.k, p.n) AS k, arg_max(coalesce(c.k, -1), p.n) AS c
+  FROM p LEFT JOIN p c ON c.doc_id = p.doc_id AND c.i = p.i - 1 AND c.n = p.n - 1
+  WHERE p.n = 1 OR p.k > 0 GROUP BY p.doc_id, p.i),
+logs AS (
+  SELECT doc_id, (least(3, i) - n) * ln(0.4)
+    + CASE WHEN n > 1 THEN ln(k / c) ELSE ln((k + 1) / ((SELECT sum(len(ws)) FROM d) - b + 1)) END AS s FROM best),
+per AS (SELECT doc_id, round(avg(s), 6) AS score FROM logs GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, score FROM d LEFT JOIN per USING (doc_id)
+""")
+def op10_word_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log score of every document's words against counts of all other documents."""
+    return wordgrams.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from rolecall.llm import langid, ngrams, quality
+from rolecall.llm import langid, ngrams, quality, wordgrams
 from rolecall.llm.common import held_out, table
 from rolecall.llm.queries import QUERIES
 
@@ -167,3 +167,55 @@ def test_stupid_backoff(spark, order, monkeypatch):
         assert got[i][0] == size
         assert got[i][1] == (None if score is None else pytest.approx(score, abs=1e-9))
     assert ngrams.score(docs.where(F.lit(False)), order).count() == 0
+
+
+def plain_word_scores(texts, order, alpha):
+    grams = lambda ws, n: [tuple(ws[i - n + 1:i + 1]) for i in range(n - 1, len(ws))]
+    split = [(t or "").encode().split() for t in texts]
+    counts = Counter(g for ws in split for n in range(1, order + 1) for g in grams(ws, n))
+    total, out = sum(map(len, split)), []
+    for ws in split:
+        own, logs = Counter(g for n in range(1, order + 1) for g in grams(ws, n)), []
+        for i in range(len(ws)):
+            longest = min(order, i + 1)
+            for n in range(longest, 0, -1):
+                gram = tuple(ws[i - n + 1:i + 1])
+                k = counts[gram] - own[gram]
+                if n == 1:
+                    k, below = k + 1, total - len(ws) + 1
+                else:
+                    below = counts[gram[:-1]] - own[gram[:-1]]
+                if k:
+                    logs.append(math.log(k / below) + (longest - n) * math.log(alpha))
+                    break
+        out.append((len(ws), sum(logs) / len(logs) if logs else None))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_word_backoff(spark, order, monkeypatch):
+    monkeypatch.setattr(wordgrams, "BLOCK_BYTES", 200)  # many blocks
+    monkeypatch.setattr(wordgrams, "PART_BYTES", 300)  # many parts
+    rng = random.Random(5)
+    texts = ["\t".join(rng.choice(["the", "cat", "é", "ran"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += [None, "", " \n ", "q", "same words", "same words", "long " * 300]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in wordgrams.score(docs.repartition(3), order).collect()}
+    for i, (size, score) in enumerate(plain_word_scores(texts, order, wordgrams.ALPHA)):
+        assert got[i] == (size, None if score is None else pytest.approx(score, abs=1e-9))
+    assert wordgrams.score(docs.where(F.lit(False)), order).count() == 0
+
+
+def test_known_words_in_random_order_score_below_prose(spark):
+    rng = random.Random(6)
+    follows = {i: rng.sample(range(300), 3) for i in range(300)}
+    texts = []
+    for _ in range(60):
+        at = [rng.randrange(300)]
+        while len(at) < 80:
+            at.append(rng.choice(follows[at[-1]]))
+        texts.append([f"word{i}" for i in at])
+    mixed = rng.sample(texts[0], 80)
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, mixed])]
+    got = {r["doc_id"]: r["score"] for r in wordgrams.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[60] < min(got[i] for i in range(60)) - 1
