@@ -11,8 +11,9 @@ candidate if all but k of the item's words are within k words of their place, as
 then verified by the exact edit distance of the whole item to the part of the document around it.
 
 Items are held by every task, in blocks of at most ``MOST_ITEMS`` items and ``MOST_BYTES`` bytes; a
-larger benchmark takes several passes over the documents. Items with fewer than ``SHORTEST`` words, or
-null, take no part; null and empty documents leak nothing. Repeated items are reported by their ids.
+larger benchmark takes several passes over the documents. Items without words, or null, take no part;
+items of so few words that none may be edited are found by exact copies. Null and empty documents leak
+nothing. Repeated items are reported by their ids.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix, raw_texts, sliced
 
 SIMILARITY = 0.8
-SHORTEST = 8  # words in an item
+SHORTEST = 1  # words in an item
 LONGEST = 8  # words in a seed
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
 TABLE = 20  # bits of the first look-up

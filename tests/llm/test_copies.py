@@ -249,6 +249,17 @@ def test_shortest_item_is_found_at_every_offset_from_the_end(before, after):
     assert block.leaks([hashes.text(t.encode()) for t in texts]) == [{i: 0} for i, _ in items]
 
 
+@pytest.mark.parametrize("n", range(1, 8))
+def test_short_items_are_found(n):
+    rng = random.Random(n)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i in range(20)]
+    block, hashes = decontaminate.Items(items), decontaminate._Words()
+    for most in {0, n // 5}:
+        texts = [" ".join([*words(rng, 9, 5000), *edited(rng, t.split(), most), *words(rng, 9, 5000)]) for _, t in items]
+        found = block.leaks([hashes.text(t.encode()) for t in texts])
+        assert found == [{i: plain_edits(t, text)[0]} for (i, t), text in zip(items, texts)]
+
+
 def test_word_hashes_stay_bounded(monkeypatch):
     monkeypatch.setattr(WordHashes, "LIMIT", 10)
     hashes = WordHashes()
