@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, near, ngrams, quality, repeats, spm, topk, urls, wordgrams
+from . import align, chat, decontaminate, langid, lexical, mixing, near, ngrams, quality, repeats, spm, topk, urls, wordgrams
 from .common import held_out, materialize, table
 
 QUERIES, ORACLES = {}, {}
@@ -241,3 +241,59 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, score FROM d LEFT JOIN per US
 def op10_word_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log score of every document's words against counts of all other documents."""
     return wordgrams.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS h FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap,
+    1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+o AS (
+  SELECT *, cap / w AS ratio, sum(source_size) OVER () - sum(cap) OVER r + cap AS rest, sum(w) OVER () - sum(w) OVER r + w AS parts
+  FROM s WINDOW r AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (
+  SELECT rest, parts FROM o WHERE cap * parts >= w * rest ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (SELECT s.*, least(CAST(w * rest AS DOUBLE) / parts, CAST(cap AS DOUBLE)) AS target FROM s, level),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+g AS (SELECT source, h, sum(size) AS z, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) AS before FROM d GROUP BY source, h)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN 2 * (target - whole * source_size - before) >= z THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h
+""")
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of all sources by weights takes of every document."""
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", F.col("targets")[0].alias("target"),
+                      (F.col("size") * F.col("copies")[0]).alias("taken"))
+
+
+@query("""
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM t),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) GROUP BY doc_id, term),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term),
+m AS (SELECT doc_id, 10 + (90 * len(ws) * n_docs) // n_terms AS m FROM d, c WHERE len(ws) > 0),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""")
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
