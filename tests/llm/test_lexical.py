@@ -85,10 +85,12 @@ def test_several_passes_and_empty_tables(spark, monkeypatch):
 
 
 def test_bounds_hold_and_prune():
-    draw = np.random.default_rng(1)
-    items = [(i, np.unique(draw.integers(0, 200, 12) // (1 + i % 5))) for i in range(50)]
+    draw = np.random.default_rng(1)  # ten topics of twenty terms
+    items = [(i, np.unique(draw.integers(0, 20, 8)) + 20 * (i % 10)) for i in range(50)]
     tree = lexical.ItemTree(items, draw.integers(1, 9000, 200).astype(float))
-    owner, term = np.divmod(np.unique(draw.integers(0, 600 * 200, 9000)), 200)
+    entries = np.unique([d * 200 + 20 * (d % 10) + t for d in range(600) for t in draw.integers(0, 20, 15)]
+                        + [d * 200 + t for d in range(600) for t in draw.integers(0, 200, 3)])
+    owner, term = np.divmod(entries, 200)
     rank = np.empty(600, np.int64)
     rank[lexical.tree_order(owner, term, 600, lexical.LEAF)] = np.arange(600)
     block = lexical.Documents(np.arange(600), rank[owner], term, draw.integers(1, 10**6, len(term)), tree)
@@ -102,4 +104,4 @@ def test_bounds_hold_and_prune():
     items_left, leaves = block.alive(tree, tree.weakest(kth))
     left = set(zip(items_left.tolist(), leaves.tolist()))
     assert {(i, a // lexical.LEAF) for (i, a), s in scores.items() if s >= kth[i]} <= left
-    assert len(left) < 50 * len(every) * 0.8
+    assert len(left) < 50 * len(every) * 0.5
