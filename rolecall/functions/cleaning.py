@@ -56,13 +56,13 @@ _OPEN, _CLOSE = "\ue000", "\ue001"
 
 def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(
-        lambda c, rule: F.regexp_replace(c, "(?md)" + to_java(rule[0]), rule[1]), rules, text)
+        lambda c, rule: F.regexp_replace(c, "(?md)" + to_java(rule[0], True), rule[1]), rules, text)
 
 
 def _case_headers(text: Column) -> Column:
     """Title-case whatever ``CAPITAL_HEADER`` captures, through a marked-up split."""
     marked = F.regexp_replace(
-        text, "(?md)" + to_java(CAPITAL_HEADER), f"### {_OPEN}$1{_CLOSE}")
+        text, "(?md)" + to_java(CAPITAL_HEADER, True), f"### {_OPEN}$1{_CLOSE}")
     pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
     cased = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, title_case(p)).otherwise(p))
     return F.array_join(cased, "")

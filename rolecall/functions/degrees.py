@@ -21,8 +21,6 @@ MASTER = [
 DOCTORATE = [r"ph\.?d\.?", "doctor(?:ate|al)", "jd", "md", "edd", "dphil"]
 
 
-# Letters and digits a spelling of each level starts with.
-_STARTS = {id(BACHELOR): "bfu4d", id(MASTER): "mgap", id(DOCTORATE): "pdjme"}
 
 
 def slashless(text: Column) -> Column:
@@ -32,7 +30,8 @@ def slashless(text: Column) -> Column:
 
 def _mentions(folded: Column, spellings: list[str]) -> Column:
     # Whole words only. A spelling's closing dot may be left out, so no word may follow.
-    start = f"(?=[{_STARTS[id(spellings)]}])(?<!{WORD})"
+    firsts = "".join(dict.fromkeys(s[0] for s in spellings))  # spellings start with a letter or digit
+    start = f"(?=[{firsts}])(?<!{WORD})"
     pattern = start + "(?:" + "|".join(spellings) + f")(?!{WORD})"
     return F.coalesce(folded.rlike(to_java(pattern)), F.lit(False))
 

@@ -13,19 +13,22 @@ _GROUP_REF = re.compile(r"\(\?P=(\w+)\)")
 
 # What the class escapes cover in Python, spelled as members of a JVM character class.
 _CLASSES = {"s": r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "w": r"\p{L}\p{N}_", "d": r"\p{Nd}"}
+# The same for texts that hold ASCII only.
+_ASCII_CLASSES = {"s": r"\s\x1c-\x1f", "w": r"\w", "d": r"\d"}
 WORD = f"[{_CLASSES['w']}]"
 _BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
-def to_java(pattern: str) -> str:
-    """Rewrite the spellings that mean something else on the JVM."""
+def to_java(pattern: str, ascii_text: bool = False) -> str:
+    """Rewrite the spellings that mean something else on the JVM, for any text or for ASCII texts."""
+    classes = _ASCII_CLASSES if ascii_text else _CLASSES
     pattern = _GROUP_NAME.sub(r"(?<\1>", pattern)
     pattern = _GROUP_REF.sub(r"\\k<\1>", pattern)
     out, in_class, i = [], False, 0
     while i < len(pattern):
         char, escape = pattern[i], pattern[i + 1:i + 2]
         if char == "\\":
-            members = _CLASSES.get(escape.lower())
+            members = classes.get(escape.lower())
             if members and escape.islower():
                 out.append(members if in_class else f"[{members}]")
             elif members:

@@ -50,8 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table stored in few splits over as many partitions as a shuffle has."""
-    return df.repartition(df.columns[0])
+    """Deal a table stored in few splits over as many partitions as a shuffle has.
+
+    The number is given, so that adaptive execution does not merge small keys into one partition whose
+    rows then meet their long texts in a single task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
