@@ -9,6 +9,7 @@ from ..operators.filters import (
     degree_filter, mentions, newer_than_hours, none_of, recent, term_filter, work_model_filter)
 from ..operators.favorites import with_favorites
 from ..operators.scoring import derive
+from ..operators.search import with_searches
 from ..plans.fixture import AS_OF, postings, table
 from .base import over_derived, over_postings, query
 
@@ -166,3 +167,28 @@ def boolean_search(spark, sf):
                all_of(mentions("doctoral", "description"), mentions("scientist", "title"))),
         none_of(mentions("junior", "title", "description")))
     return postings(spark, sf).where(wanted).select(*_SHOWN.split(", "))
+
+
+SEARCHES = {
+    "doctor_data": '"data engineer" AND ("ph.d." OR doctoral) NOT junior',
+    "nurse_manager": 'nurse OR "Program Manager" AND baltimore',
+    "plain_scientist": "NOT (senior OR staff) scientist",
+    "developer": "C++ developer (mba OR NOT (bachelor OR OFFICE))",
+    "quoted_words": '"and" NOT "or"',
+}
+
+
+def _has(term: str) -> str:
+    return (f"(coalesce(contains(lower(title), '{term}'), false) "
+            f"OR coalesce(contains(lower(description), '{term}'), false))")
+
+
+@query("search_string", over_postings(
+    f"SELECT ord, {_has('data engineer')} AND ({_has('ph.d.')} OR {_has('doctoral')}) AND NOT {_has('junior')} "
+    f"AS doctor_data, {_has('nurse')} OR ({_has('program manager')} AND {_has('baltimore')}) AS nurse_manager, "
+    f"NOT ({_has('senior')} OR {_has('staff')}) AND {_has('scientist')} AS plain_scientist, "
+    f"{_has('c++')} AND {_has('developer')} AND ({_has('mba')} OR NOT ({_has('bachelor')} OR {_has('office')})) "
+    f"AS developer, {_has('and')} AND NOT {_has('or')} AS quoted_words FROM postings"))
+def search_string(spark, sf):
+    """Which postings each of several search strings matches."""
+    return with_searches(postings(spark, sf), SEARCHES).select("ord", *SEARCHES)
