@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.degrees import has_bachelor, has_doctorate, has_master, slashless
 from ..functions.location import parse_location
+from ..operators.keywords import keyword_scores, term_table
 from ..operators.metrics import url_columns, width_thresholds
 from ..operators.numbering import row_numbers
 from ..operators.projection import labelled, list_columns, rendered, visible
 from ..operators.scoring import degree_score, derive, rank_order_score, with_keywords
 from ..operators.sorting import standard_order, typed_order
-from ..plans.fixture import AS_OF, postings
+from ..plans.fixture import AS_OF, postings, table
 from ..plans.rank import rank, score_profiles, scored_view
 from ..schema import DEFAULT_COLUMNS, DEFAULT_LABELS, INSTANCE_COLS, list_name
 from ..sources.html_report import html_rows
@@ -148,6 +149,59 @@ def matched_keywords(spark, sf):
         "ord", F.array_join("keywords", ", ").alias("keywords"))
 
 
+# Fifty search terms: plain words, phrases and regular expressions.
+FIFTY_TERMS = {
+    1: ["data", "engineer", "scientist", "analyst", "developer", "manager", "nurse", "senior",
+        "staff", "junior", r"c\+\+", "intern", "degree", "doctoral", "preferred",
+        "required", "advanced", "python", "spark", "sql"],
+    0: ["office", "baltimore", "bachelor", "master", r"ph\.?d", "mba", "kubernetes", "docker",
+        "terraform", "airflow", "java", "scala", "rust", "golang", "react"],
+    -1: ["clearance", "on call", "travel", "unpaid", "night shift", "commission", "cold call",
+         r"\bsales\b", r"door.to.door", "weekend", "temporary", "contract", "part time",
+         "relocation", "overtime"],
+}
+
+
+@query("keyword_score_50", over_postings(
+    f"SELECT ord, {_keyword_score(FIFTY_TERMS)} AS keyword_score, {_keywords(FIFTY_TERMS)} AS keywords FROM postings"))
+def keyword_score_50(spark, sf):
+    """Fifty terms as a table, looked up by the texts' words."""
+    rows = postings(spark, sf).select("ord", "title", "description")
+    return keyword_scores(rows, term_table(spark, FIFTY_TERMS), "ord").withColumn(
+        "keywords", F.array_join("keywords", ", "))
+
+
+# Every word of the benchmark items, and every two that stand next to each other.
+_ITEM_WORDS = """words AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+listed AS (
+  SELECT unnest(w) AS term FROM words
+  UNION SELECT w[i] || ' ' || w[i + 1] FROM words, unnest(range(1, len(w))) AS t(i)),
+terms AS (SELECT term, row_number() OVER (ORDER BY term) AS place, length(term) % 3 - 1 AS weight FROM listed)"""
+
+
+@query("keyword_score_many", over_postings_and(
+    f"""{_ITEM_WORDS},
+texts AS (SELECT title AS text FROM postings UNION SELECT description FROM postings),
+held AS (SELECT text, list(place) AS places FROM texts JOIN terms ON contains(lower(text), term) GROUP BY text),
+hits AS (
+  SELECT ord, unnest(list_distinct(list_concat(coalesce(t.places, []), coalesce(d.places, [])))) AS place
+  FROM postings LEFT JOIN held t ON t.text = title LEFT JOIN held d ON d.text = description),
+sums AS (SELECT ord, CAST(sum(weight) AS INT) AS score, count(*) AS n FROM hits JOIN terms USING (place) GROUP BY ord)""",
+    "SELECT ord, coalesce(score, 0) AS keyword_score, CAST(coalesce(n, 0) AS INT) AS n_keywords "
+    "FROM postings LEFT JOIN sums USING (ord)"))
+def keyword_score_many(spark, sf):
+    """Some thousand terms, words and phrases, as a table."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(
+        x, F.lit(" "), F.get("w", i + 1)))
+    listed = table(spark, sf, "benchmark").select(words.alias("w")).select(
+        F.explode(F.concat("w", pairs)).alias("term")).distinct()
+    terms = row_numbers(listed, [F.col("term")], "place").withColumn("weight", F.length("term") % 3 - 1)
+    rows = postings(spark, sf).select("ord", "title", "description")
+    return keyword_scores(rows, terms, "ord").select(
+        "ord", "keyword_score", F.size("keywords").alias("n_keywords"))
+
+
 _SCORES = "date_posted, location_score, degree_score, keyword_score, site_score"
 _DESCENDING = ", ".join(f"{c} DESC NULLS LAST" for c in _SCORES.split(", "))
 
