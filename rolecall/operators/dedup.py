@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CRITERIA, INSTANCE_COLS, is_text
 from ..sources.storage import materialize
+from .key_filter import thinned
 
 SKIP, GROUP = "skip", "group"
 
@@ -56,9 +57,12 @@ def exact_distinct(df: DataFrame, order: str) -> DataFrame:
 
 
 def strict_anti(batch: DataFrame, archive: DataFrame) -> DataFrame:
-    """Batch rows with no archive row equal on all instance columns (null equals null)."""
-    known = archive.select(instance_digest(archive).alias("_same"))
-    keyed = batch.withColumn("_same", instance_digest(batch))
+    """Batch rows with no archive row equal on all instance columns (null equals null).
+
+    Of a much larger archive only the digests that a filter of the batch's lets through are shuffled.
+    """
+    keyed = materialize(batch.withColumn("_same", instance_digest(batch)), "keyed")
+    known = thinned(archive.select(instance_digest(archive).alias("_same")), "_same", keyed, archive)
     return keyed.join(known, "_same", "left_anti").drop("_same")
 
 
@@ -114,9 +118,12 @@ def match_keys(df: DataFrame) -> Column:
 
 
 def affected_leaves(archive: DataFrame, batch: DataFrame) -> DataFrame:
-    """Identities of archive leaves that share any non-null key with the batch (one hop)."""
-    wanted = batch.select(F.explode(match_keys(batch)).alias("_match")).distinct()
-    offered = archive.select("_leaf", F.explode(match_keys(archive)).alias("_match"))
+    """Identities of archive leaves that share any non-null key with the batch (one hop).
+
+    Of a much larger archive only the keys that a filter of the batch's lets through are shuffled.
+    """
+    wanted = materialize(batch.select(F.explode(match_keys(batch)).alias("_match")).distinct(), "wanted")
+    offered = thinned(archive.select("_leaf", F.explode(match_keys(archive)).alias("_match")), "_match", wanted, archive)
     return offered.join(wanted, "_match", "left_semi").select("_leaf").distinct()
 
 
