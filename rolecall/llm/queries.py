@@ -164,6 +164,11 @@ SELECT u.conv_id, 'call-' || u.conv_id || '-' || u.turn AS call_id, u.turn, 'rep
   || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"id":"call-' || u.conv_id || '-' || u.turn
   || '","name":"reply"}' AS message
 FROM u JOIN chain USING (conv_id, turn) LEFT JOIN a ON a.conv_id = u.conv_id AND a.result_turn = u.turn + 1
+UNION ALL
+SELECT conv_id, 'call-' || conv_id || '-' || (result_turn - 1), NULL, NULL, NULL, false, result_turn, 'no call',
+  '{"arguments":null,"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"id":"call-' || conv_id || '-'
+  || (result_turn - 1) || '","name":null}'
+FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.result_turn - 1)
 """)
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool-call messages of every conversation."""

@@ -107,6 +107,11 @@ def test_tool_calls(spark):
         [(1, "1", 2, 'a "b"\n'), (1, "2", 4, None), (1, "none", 5, "x"), (2, "1", 2, "other"), (1, "3", 8, ""), (1, "3", 9, "é")],
         "conv_id long, call_id string, turn long, content string")
     rows = chat.linked(calls, results, SCHEMAS).collect()
+    orphans = [r for r in rows if list(r["problems"]) == ["no call"]]
+    assert sorted((r["conv_id"], r["call_id"], r["turn"], r["depth"], r["linked"], r["result_turn"], r["message"]) for r in orphans) == [
+        (1, "none", None, None, False, 5, '{"arguments":null,"content":"x","id":"none","name":null}'),
+        (2, "1", None, None, False, 2, '{"arguments":null,"content":"other","id":"1","name":null}')]
+    rows = [r for r in rows if r not in orphans]
     got = {r["call_id"]: r for r in rows}
     assert len(rows) == len(CALLS) + 1
     for call_id, _, name, _, depth, problems, arguments in CALLS:
@@ -117,7 +122,84 @@ def test_tool_calls(spark):
         assert json.loads(row["message"])["name"] == name
     assert got["1"]["message"] == '{"arguments":{"a":1.5,"how":"x"},"content":"a \\"b\\"\\n","id":"1","name":"sum"}'
     assert sorted(r["result_turn"] for r in rows if r["call_id"] == "3") == [8, 9]
-    assert chat.linked(calls.where("false"), results, SCHEMAS).count() == 0
+    assert chat.linked(calls.where("false"), results.where("false"), SCHEMAS).count() == 0
+
+
+NUMBERS = {
+    "1e2": "100", "100": "100", "100.0": "100", "1.00E+2": "100", "-0": "0", "0.0": "0", "-0.0e5": "0", "1e-7": "1e-7", "0.0000001": "1e-7",
+    "0.000001": "0.000001", "1e400": "1e+400", "-1.50": "-1.5", "123456789012345678901": "123456789012345678901",
+    "1234567890123456789012": "1.234567890123456789012e+21", "1e21": "1e+21", "1e20": "100000000000000000000",
+    "0.1000000000000000055511151231257827": "0.1000000000000000055511151231257827", "12.5e-1": "1.25", "-12e-9": "-1.2e-8", "7": "7",
+}
+
+
+def canonical(name):
+    return chat.canonical(chat.F.col(name))
+
+
+def test_numbers_have_one_spelling(texts):
+    rows = [f'{{"b": [{n}, "{n}"], "a": {n}}}' for n in NUMBERS] + [f" {n} " for n in NUMBERS]
+    wanted = [f'{{"a":{c},"b":[{c},"{n}"]}}' for n, c in NUMBERS.items()] + list(NUMBERS.values())
+    assert texts(rows, canonical) == wanted
+
+
+def test_canonical_texts(texts):
+    odd = ['"a\\\\\\"1\\\\"', '{"\\u0001n5": "\\u0001n5", "\\u0001s": "1"}', '["\\u00e9\\/", "\\n", true, null, false, -1]', "{}", "[]", '""', "nul", None,
+           '{"a": 1, "a": 2}', '{"a" :\n [ 1 , {"c":2, "b" : "x, 1.0: \\"2.0\\""} ] }', '"' + "\\n1" * 20_000 + '"']
+    got = texts(odd, canonical)
+    assert got[:9] == ['"a\\\\\\"1\\\\"', '{"\\u0001n5":"\\u0001n5","\\u0001s":"1"}', '["é/","\\n",true,null,false,-1]', "{}", "[]", '""', None, None, None]
+    assert got[9] == '{"a":[1,{"b":"x, 1.0: \\"2.0\\"","c":2}]}' and got[10] == odd[10]
+
+
+def test_references_at_any_level(texts):
+    rows = ['{"a": [{"$ref": "x"}, {"b": {"$ref": "y\\"é"}}], "c": "\\"$ref\\":\\"no\\"", "$ref": 5}', '{"\\u0024ref": "z"}', "[]", None, '"$ref"',
+            '["$ref", "no"]']
+    assert texts(rows, lambda t: chat.references(canonical(t))) == [["x", 'y"é'], ["z"], [], None, [], []]
+
+
+NESTED = {"book": {
+    "type": "object", "required": ["trip"], "properties": {
+        "trip": {"type": "object", "required": ["to"], "additionalProperties": False, "properties": {
+            "to": {"type": "string", "pattern": "^[A-Z]{3}$"}, "legs": {"type": "array", "minItems": 1, "maxItems": 2, "items": {
+                "type": "object", "properties": {"km": {"type": "integer", "minimum": 0}}, "required": ["km"]}}}},
+        "note": {"type": ["string", "null"], "maxLength": 3}}}}
+
+
+def test_nested_schemas(texts):
+    rows = {
+        '{"trip": {"to": "OSL", "legs": [{"km": 5}, {"km": 1e2}]}, "note": null}': "",
+        '{"trip": {"to": "osl", "legs": []}}': "few trip.legs,pattern trip.to",
+        '{"trip": {"legs": [{"km": -1}, {"km": 1.5}, {}], "x": 1}, "note": "long"}':
+            "long note,many trip.legs,missing trip.legs[].km,missing trip.to,small trip.legs[].km,type trip.legs[].km,unexpected key in trip",
+        '{"trip": 5, "note": 1}': "type note,type trip", "[]": "type", '{"trip": {"to": "OSL", "legs": [3]}}': "type trip.legs[]",
+        '{"trip": {"to": "OSL", "legs": [{"km": 1e400}]}}': "",
+    }
+    got = texts(list(rows), lambda t: chat.F.array_join(chat.problems(chat.F.lit("book"), t, NESTED), ","))
+    assert got == list(rows.values())
+    with pytest.raises(ValueError, match="oneOf"):
+        texts(["{}"], lambda t: chat.problems(chat.F.lit("book"), t, {"book": {"properties": {"a": {"oneOf": []}}}}))
+
+
+def test_repeated_calls_missing_ids_and_long_arguments(spark):
+    long = json.dumps({"text": "word 1.0 " * 50_000})
+    calls = spark.createDataFrame(
+        [(1, "a", 1, "free", "{}"), (1, "a", 2, "free", '{"b": 2.0}'), (None, "a", 3, "free", "{}"), (1, None, 4, "free", "{}"),
+         (1, "b", 5, "free", long)], "conv_id long, call_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([(1, "a", 6, "x"), (1, "a", 6, "x"), (None, "a", 7, "y"), (1, None, 8, "z")],
+                                    "conv_id long, call_id string, turn long, content string")
+    rows = chat.linked(calls, results, SCHEMAS).collect()
+    got = sorted((str(r["conv_id"]), str(r["call_id"]), r["turn"] or 0, r["linked"], r["result_turn"] or 0, ",".join(r["problems"])) for r in rows)
+    assert got == sorted([("1", "a", 1, True, 6, "")] * 2 + [("1", "a", 2, True, 6, "")] * 2 + [
+        ("None", "a", 3, False, 0, ""), ("1", "None", 4, False, 0, ""), ("1", "b", 5, False, 0, ""),
+        ("None", "a", 0, False, 7, "no call"), ("1", "None", 0, False, 8, "no call")])
+    assert {r["message"] for r in rows if r["call_id"] == "b"} == {
+        '{"arguments":{"text":"' + "word 1.0 " * 50_000 + '"},"content":null,"id":"b","name":"free"}'}
+
+
+def test_chain_of_calls_with_several_references(spark):
+    calls = [(1, str(i), i, "free", json.dumps({"x": [{"$ref": str(i - 1)}, {"$ref": str(i - 2)}]})) for i in range(12)]
+    frame = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string")
+    assert {r["call_id"]: r["depth"] for r in chat.depths(frame).collect()} == {str(i): i for i in range(12)}
 
 
 @pytest.fixture(scope="module")
