@@ -196,13 +196,12 @@ def test_leaks_match_brute_force(spark, leaky):
     for i, text in docs:
         for item_id, item in items:
             fewest, n = plain_edits(item, text)
-            if n >= decontaminate.SHORTEST and fewest <= int(0.2 * n + 1e-9):
+            if n and fewest <= int(0.2 * n + 1e-9):
                 wanted += 1
-                missed += item_id not in got[i]
-                assert got[i].get(item_id, fewest) == fewest
+                assert got[i].get(item_id) == fewest
             else:
                 assert item_id not in got[i]
-    assert wanted > 60 and missed <= 0.03 * wanted
+    assert wanted > 60
     kept = decontaminate.clean(frame, bench)
     assert kept.columns == frame.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, found in got.items() if not found)
@@ -215,9 +214,7 @@ def test_benchmarks_in_passes(spark, leaky, monkeypatch):
     once = sorted(tuple(map(str, r)) for r in decontaminate.find(frame, bench).collect())
     monkeypatch.setattr(decontaminate, "MOST_ITEMS", 12)
     many = decontaminate.find(frame, bench).collect()
-    ids = {r["doc_id"]: r["item_ids"] for r in many}
-    same = sum(str(ids[int(d)]) == found for d, found, _ in once)
-    assert same >= 0.97 * len(once)
+    assert sorted(tuple(map(str, r)) for r in many) == once
     assert decontaminate.find(frame.where("false"), bench).count() == 0
     assert not any(r["item_ids"] for r in decontaminate.find(frame, bench.where("false")).collect())
 
@@ -228,15 +225,57 @@ def edited(rng, part, most):
     return part
 
 
-@pytest.mark.parametrize("n", [8, 10, 14, 15, 16, 18, 20, 24, 25, 50])
-def test_every_leak_is_found_at_the_full_fifth_of_edits(n):
+def recall_at(n, count=300):
+    """The share of n-word items that walks find with a fifth of their words edited, and their edits right."""
     rng = random.Random(n)
-    items = [(i, " ".join(words(rng, n, 5000))) for i in range(60)]
+    items = [(i, " ".join(words(rng, n, 5000))) for i in range(count)]
     block, hashes = decontaminate.Items(items), decontaminate._Words()
     texts = [" ".join([*words(rng, 30, 5000), *edited(rng, t.split(), n // 5), *words(rng, 30, 5000)]) for _, t in items]
     found = block.leaks([hashes.text(t.encode()) for t in texts])
     for (i, item), text, leaks in zip(items, texts, found):
-        assert leaks.get(i) == plain_edits(item, text)[0] <= n // 5
+        if i in leaks:
+            assert leaks[i] == plain_edits(item, text)[0] <= n // 5
+    return sum(i in leaks for (i, _), leaks in zip(items, found)) / count
+
+
+@pytest.mark.parametrize("n", [8, 10, 11, 14, 15, 16, 18, 20, 24, 25, 30, 40, 50, 80])
+def test_recall_at_the_full_fifth_of_edits(n):
+    assert recall_at(n) >= (0.99 if n >= decontaminate.SHORT else 1)
+
+
+def test_walks_follow_from_the_target():
+    few, many = (decontaminate.walks_for({10: 2, 15: 3}, 10, recall) for recall in (0.8, 0.999))
+    assert 1 <= few < many <= decontaminate.MOST_WALKS
+    with pytest.raises(ValueError):
+        decontaminate.walks_for({10: 9}, 10, trials=50)
+
+
+def test_walks_fall_in_step_after_an_edit():
+    rng = np.random.default_rng(4)
+    one = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    other = np.concatenate([one[:100], rng.integers(1, 1 << 62, 2).astype(np.uint64), one[101:]])  # one replaced, one added
+    walks, near, far = decontaminate.Walks(16), 0, 0
+    for walk in range(decontaminate.MOST_WALKS):
+        a, b = (next(walks.keys(decontaminate.laid_out([x])[0], walk))[0] for x in (one, other))
+        assert (a[:88] == b[:88]).all()  # windows before the edit
+        near += (a[102:280] == b[103:281]).mean()
+        far += (a[102:280] == b[105:283]).mean()
+    assert near == decontaminate.MOST_WALKS and far < 1
+
+
+def test_words_in_another_order_are_no_leak():
+    rng = random.Random(3)
+    item = words(rng, 30, 5000)
+    block, hashes = decontaminate.Items([(1, " ".join(item))]), decontaminate._Words()
+    assert block.leaks([hashes.text(" ".join(reversed(item)).encode()), hashes.text(b""), hashes.text(b"-- ,")]) == [{}, {}, {}]
+
+
+def test_very_long_text_is_read_to_its_end():
+    rng = random.Random(5)
+    item = words(rng, 20, 5000)
+    text = ["common"] * 300_000 + edited(rng, list(item), 4)
+    block, hashes = decontaminate.Items([(1, " ".join(item)), (2, "common " * 12)]), decontaminate._Words()
+    assert block.leaks([hashes.text(" ".join(text).encode())]) == [{1: plain_edits(" ".join(item), " ".join(text[-30:]))[0], 2: 0}]
 
 
 @pytest.mark.parametrize("before", range(9))
