@@ -10,7 +10,8 @@ left.
 
 Words repeat, so a worker encodes each distinct word once while it remembers it. A text may be cut before
 a space that follows a letter or another visible ASCII character: neither tokenizer has a token across it.
-Words that end otherwise stay joined to the next one.
+Words that end otherwise stay joined to the next one. New words in Latin letters are encoded together, A's
+by the same merges in another library, and cut apart again; all others go through A's own file one by one.
 
 A link's count is the number of documents that hold the same pair of ids linked. Blocks of documents send
 each distinct pair once with its number of documents; the sums are joined back to the blocks' pairs, so
@@ -25,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,7 +40,10 @@ from .common import materialize, packed, sliced
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
+# Fixed value: how byte-level BPE splits text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 4 << 20  # bytes of text that are merged and sent in one block
+LATIN = "\u024f"  # last character of words that are encoded together
 MEMO = 200_000  # distinct words a worker remembers
 SHIFT = 20  # bits of an id of B in a pair's key
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -59,6 +62,11 @@ def piece_bytes(piece: str) -> bytes:
     return bytes([int(spelled[1], 16)]) if spelled else piece.replace("▁", " ").encode()
 
 
+def ends_visibly(word: str) -> bool:
+    """Whether the word ends with a letter or a visible ASCII character."""
+    return word[-1:].isalnum() if word[-1:] > "~" else word[-1:] > " "
+
+
 class Tokenizers:
     """Both tokenizers, the bytes of their tokens, and the words they have encoded.
 
@@ -75,6 +83,7 @@ class Tokenizers:
 
     def _load(self, byte_bpe: str, piece_bpe: str) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.first = Tokenizer.from_file(byte_bpe)
@@ -87,43 +96,80 @@ class Tokenizers:
                    if i not in {x["id"] for x in vocabulary["added_tokens"]}}
         self.a_bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
         self.b_bytes = [piece_bytes(self.second.id_to_piece(i)) for i in range(self.second.get_piece_size())]
+        self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, special_tokens={},
+                                      mergeable_ranks={t: i for i, t in entries.items()})
         self.a_sizes = np.array(list(map(len, self.a_bytes)))
         self.b_sizes = np.array(list(map(len, self.b_bytes)))
-        self.ids_a: dict[str, bytes] = {}
-        self.ids_b: dict[str, bytes] = {}
-        self.bad: set[str] = set()
+        self.place: dict[str, int] = {}
+        self.spelled = np.zeros(0, bool)
+        self.ids = Lists(), Lists()
         # decimal ids with what follows them in a group string: A's before another, A's last, B's before another, B's last
         a, b = range(len(self.a_bytes)), range(len(self.b_bytes))
-        self.digits = [*(b"%d," % i for i in a), *(b"%d|" % i for i in a), *(b"%d," % i for i in b), *(b"%d;" % i for i in b)]
-
-    def _learned(self, words: set[str]) -> tuple[dict[str, bytes], dict[str, bytes], set[str]]:
-        """Ids of A and of B for every word, as bytes, and the words that are not spelled back."""
-        new = list(words.difference(self.ids_a))
-        ids_a, ids_b, bad = self.ids_a, self.ids_b, self.bad
-        if len(ids_a) + len(new) > MEMO:  # full: what comes later is kept for this call only
-            old = words.intersection(ids_a)
-            ids_a, ids_b, bad = {w: ids_a[w] for w in old}, {w: ids_b[w] for w in old}, set(bad)
-        for start in range(0, len(new), 10_000):
-            some = new[start:start + 10_000]
+        digits = [*(b"%d," % i for i in a), *(b"%d|" % i for i in a), *(b"%d," % i for i in b), *(b"%d;" % i for i in b)]
+        width = max(map(len, digits))
+        self.digits = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in digits), np.uint8).reshape(-1, width)
+
+    def _forget(self, kept: list[str]) -> None:
+        """Go on with those of the remembered words only."""
+        rows = np.fromiter(map(self.place.__getitem__, kept), np.int64, len(kept))
+        self.place = dict(zip(kept, range(len(kept))))
+        self.spelled = self.spelled[rows]
+        for side in self.ids:
+            side.keep(rows)
+
+    def _learn(self, words: set[str]) -> None:
+        """Have the ids of all the words."""
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > MEMO:
+            self._forget([w for w in words if w in self.place])
+        together = [w for w in new if w[-1:] != " " and ends_visibly(w) and max(w) <= LATIN]
+        apart = set(new).difference(together)
+        for start in range(0, len(together), 10_000):
+            some = together[start:start + 10_000]
+            if not self._learn_together(some):
+                apart.update(some)
+        rest = list(apart)
+        for start in range(0, len(rest), 10_000):
+            some = rest[start:start + 10_000]
             ones = self.first.encode_batch_fast([" " + w for w in some], add_special_tokens=False)
-            for word, one, b in zip(some, ones, self.second.encode(some, num_threads=1)):
-                a, whole = one.ids, (" " + word).encode()
-                ids_a[word], ids_b[word] = array("i", a).tobytes(), array("i", b).tobytes()
-                if (b"".join(map(self.a_bytes.__getitem__, a)) != whole
-                        or b"".join(map(self.b_bytes.__getitem__, b)) != whole):
-                    bad.add(word)
-        return ids_a, ids_b, bad
+            a, b = [x.ids for x in ones], self.second.encode(some, num_threads=1)
+            whole = [(" " + w).encode() for w in some]
+            good = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y))
+                    for x, y, w in zip(a, b, whole)]
+            self._add(some, good, *((np.fromiter(chain.from_iterable(x), np.int32), list(map(len, x))) for x in (a, b)))
+
+    def _add(self, words: list[str], good, *sides: tuple[np.ndarray, np.ndarray]) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.spelled = np.concatenate([self.spelled, good]).astype(bool)
+        for side, (ids, sizes) in zip(self.ids, sides):
+            side.add(ids, sizes)
+
+    def _learn_together(self, words: list[str]) -> bool:
+        """Encode words in one go, in Latin letters, of which no token crosses a space; False if that fails."""
+        text = " " + " ".join(words)
+        whole = text.encode()
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        sides = []
+        for ids, sizes, spelled in ((self.fast.encode_ordinary(text), self.a_sizes, self.a_bytes),
+                                    (self.second.encode(text[1:], num_threads=1), self.b_sizes, self.b_bytes)):
+            if b"".join(map(spelled.__getitem__, ids)) != whole:
+                return False
+            ids = np.array(ids, np.int32)
+            at = np.cumsum(sizes[ids])
+            last = np.searchsorted(at, ends)
+            if (at[last] != ends).any():
+                return False
+            sides.append((ids, np.diff(last, prepend=-1)))
+        self._add(words, np.ones(len(words), bool), *sides)
+        return True
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        """The text's words: each stands after one space, the first after the added one."""
-        words = text.split(" ")
-        if all(w and ("!" <= w[-1] <= "~" or w[-1].isalpha()) for w in words):
-            return words
+    def cut(words: list[str]) -> list[str]:
+        """A text's pieces between spaces, joined to the next one where a token may cross the space."""
         out, held = [], []
         for word in words:
             held.append(word)
-            if word and ("!" <= word[-1] <= "~" or word[-1].isalpha()):
+            if ends_visibly(word):
                 out.append(" ".join(held))
                 held = []
         if held == [""]:  # a space at the end, which B does not encode by itself
@@ -132,14 +178,49 @@ class Tokenizers:
             out.append(" ".join(held))
         return out
 
+    def flat(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B, the ids of all texts and how many each text has."""
+        cuts = [t.split(" ") if t else [] for t in texts]
+        odd = {w for w in set(chain.from_iterable(cuts)) if not ends_visibly(w)}
+        if odd:
+            cuts = [words if odd.isdisjoint(words) else self.cut(words) for words in cuts]
+        flat = list(chain.from_iterable(cuts))
+        self._learn(set(flat))
+        rows = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(texts)), list(map(len, cuts)))
+        failed = np.zeros(len(texts), bool)
+        failed[owner[~self.spelled[rows]]] = True
+        rows, owner = rows[~failed[owner]], owner[~failed[owner]]
+        out = []
+        for side in self.ids:
+            ids, sizes = side.of(rows)
+            out.append((ids, np.bincount(owner, sizes, len(texts)).astype(np.int64)))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B for each text; none for texts without tokens."""
-        cuts = [self.cut(t) if t else [] for t in texts]
-        ids_a, ids_b, bad = self._learned(set(chain.from_iterable(cuts)))
-        if bad:
-            cuts = [words if bad.isdisjoint(words) else [] for words in cuts]
-        return [tuple(np.frombuffer(b"".join(map(ids.__getitem__, words)), np.int32) for ids in (ids_a, ids_b))
-                for words in cuts]
+        return list(zip(*(np.split(ids, np.cumsum(sizes)[:-1]) for ids, sizes in self.flat(texts)))) if texts else []
+
+
+class Lists:
+    """Lists of ids, one after another."""
+
+    def __init__(self):
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists, and their sizes."""
+        starts, sizes = self.starts[rows], self.starts[rows + 1] - self.starts[rows]
+        return self.ids[np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)], sizes
+
+    def keep(self, rows: np.ndarray) -> None:
+        ids, sizes = self.of(rows)
+        self.__init__()
+        self.add(ids, sizes)
 
 
 def merged(a_ends: np.ndarray, a_stops: np.ndarray, b_ends: np.ndarray, b_stops: np.ndarray):
@@ -167,8 +248,8 @@ def merged(a_ends: np.ndarray, a_stops: np.ndarray, b_ends: np.ndarray, b_stops:
     return tuple(np.concatenate(x or none) for x in (links_a, links_b, cuts_a, cuts_b))
 
 
-def _written(a_groups: np.ndarray, b_groups: np.ndarray, a: np.ndarray, b: np.ndarray, tables: Tokenizers):
-    """The tokens of A and B in the order of the group strings, as places in ``digits``, and A's places."""
+def _written(a_groups: np.ndarray, b_groups: np.ndarray, a: np.ndarray, b: np.ndarray, tables: Tokenizers) -> np.ndarray:
+    """The tokens of A and B in the order of the group strings, as places in ``digits``."""
     last_a = np.diff(a_groups, append=-1) != 0
     last_b = np.diff(b_groups, append=-1) != 0
     n_a, n_b = len(tables.a_bytes), len(tables.b_bytes)
@@ -184,11 +265,10 @@ class Aligned:
     """A block of documents, merged: counts, group strings and the pairs that each document holds."""
 
     def __init__(self, texts: list[str | None], tables: Tokenizers):
-        tokens = []
-        for some in _runs(texts, 1 << 20):
-            tokens += tables.encode(some)
-        a, b = (np.concatenate([t[k] for t in tokens] or [np.zeros(0, np.int32)]) for k in (0, 1))
-        sizes = [np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1)]
+        parts = [tables.flat(some) for some in _runs(texts, 1 << 20)]
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        (a, n_a), (b, n_b) = (tuple(map(np.concatenate, zip(none, *(p[k] for p in parts)))) for k in (0, 1))
+        sizes = n_a.astype(np.int64), n_b.astype(np.int64)
         a_stops, b_stops = (np.cumsum(s) for s in sizes)
         a_ends, b_ends = np.cumsum(tables.a_sizes[a]), np.cumsum(tables.b_sizes[b])
         links_a, links_b, cuts_a, cuts_b = merged(a_ends, a_stops, b_ends, b_stops)
@@ -200,9 +280,12 @@ class Aligned:
         # a token's group is the number of cuts before it
         a_groups, b_groups = (np.cumsum(np.bincount(c + 1, minlength=len(x) + 1)[:len(x)])
                               for c, x in ((cuts_a, a), (cuts_b, b)))
-        written, both = _written(a_groups, b_groups, a, b, tables), a_stops + b_stops
-        self.strings = [b"".join(map(tables.digits.__getitem__, written[both[i] - sizes[0][i] - sizes[1][i]:both[i]].tolist()))[:-1]
-                        for i in range(n)]
+        written = tables.digits[_written(a_groups, b_groups, a, b, tables)]
+        shown = written > 0
+        ends = np.cumsum(shown.sum(axis=1))
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], a_stops + b_stops])].tolist()
+        data = written[shown].tobytes()
+        self.strings = [data[i:j][:-1] for i, j in zip(ends, ends[1:])]
         keys = (a[links_a].astype(np.int64) << SHIFT) | b[links_b]
         self.keys, place = np.unique(keys, return_inverse=True)
         held, self.times = np.unique(owner[links_a] * max(1, len(self.keys)) + place, return_counts=True)
