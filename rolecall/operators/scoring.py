@@ -12,6 +12,7 @@ from ..functions.degrees import (
     degree_bin, has_bachelor, has_doctorate, has_master, slashless)
 from ..functions.location import parse_location
 from ..functions.patterns import fold, search_folded
+from ..schema import DERIVED
 from .filters import never_null
 
 # Presets of the (bachelor, master, doctorate) weights.
@@ -21,7 +22,9 @@ DEGREE_PRESETS = {
 
 
 def derive(df: DataFrame) -> DataFrame:
-    """Add city, state, the degree flags and the degree bit mask."""
+    """Add city, state, the degree flags and the degree bit mask, where they are not stored."""
+    if set(DERIVED.fieldNames()) <= set(df.columns):
+        return df
     text = F.col("_folded")
     prepared = df.withColumns({
         "_folded": slashless(F.col("description")), "_place": parse_location(F.col("location"))})

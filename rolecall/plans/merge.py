@@ -12,7 +12,7 @@ from ..operators.dedup import (
     SAME, SKIP, affected_leaves, exact_distinct, instance_digest, leaf_texts, leaves,
     merge_leaves, merge_pass, position_token, strict_anti, text_facts, with_texts)
 from ..operators.numbering import sequenced
-from ..schema import INSTANCE_COLS, conform, is_text
+from ..schema import DERIVED, INSTANCE_COLS, conform, is_text
 from ..sources.storage import materialize
 
 
@@ -66,7 +66,7 @@ def raw_archive_texts(archive: DataFrame, order: str = "ord") -> DataFrame:
 def archive_leaves(postings: DataFrame) -> DataFrame:
     token = position_token(1, -F.col("merge_seq"), F.col("ord"))
     rows = leaves(postings, archive_leaf(), token, F.col("n_instances"))
-    return rows.drop("posting_id", "merge_seq", "ord", "n_instances")
+    return rows.drop("posting_id", "merge_seq", "ord", "n_instances", *DERIVED.fieldNames())
 
 
 def merge_input(new: DataFrame, archive: DataFrame) -> DataFrame:

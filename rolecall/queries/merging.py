@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from ..operators.dedup import (
     GROUP, affected_leaves, exact_distinct, strict_anti)
 from ..operators.details import aligned_records
+from ..operators.filters import active, apply_filters, degree_filter
 from ..operators.metrics import merge_metrics
-from ..plans.fixture import postings
+from ..plans.fixture import AS_OF, postings
 from ..plans.merge import (
     batch_leaves, ingest, merge_batch, merged_table, raw_archive_leaves, single_pass)
-from ..schema import CRITERIA, POSTING_COLS
-from ..sources.archive import append_segment, compact, read_archive
+from ..schema import CRITERIA, DERIVED, POSTING_COLS
+from ..sources.archive import append_segment, compact, read_archive, read_csv_archive
 from ..sources.storage import fresh_path
 from ..streaming.update import start_updates
-from .base import over_postings, over_postings_and, query
+from .base import _DERIVED, _PLACES, over_postings, over_postings_and, query
 
 COLS = ["id", "site", "job_url_direct", "title", "company", "location", "date_posted", "job_type",
         "is_remote", "min_amount", "max_amount", "currency", "interval", "description"]
@@ -301,3 +302,36 @@ def stream_update(spark, sf):
         half.orderBy("ord").select(*kept).write.mode("append").parquet(landing)
         start_updates(spark, landing, path, checkpoint, html=False).awaitTermination()
     return _shown(read_archive(spark, path))
+
+
+_CSV_TEXT = "'two \"lines\",' || chr(10) || title || chr(10) || substr(description, 1, 200)"
+
+
+@query("csv_archive", over_postings(
+    f"SELECT id, title, company, location, min_amount, is_remote, {_CSV_TEXT} AS description, "
+    "id || '|' || 'it''s ' || company AS id_list FROM postings"))
+def csv_archive(spark, sf):
+    """An archive in one CSV file, with quotes, line breaks and lists, imported in splits."""
+    path = fresh_path(spark, "csv")
+    rows = postings(spark, sf).select(
+        "id", "title", "company", "location", "min_amount", "is_remote",
+        F.expr(_CSV_TEXT.replace("chr(10)", "'\\n'")).alias("description"),
+        F.concat(F.lit("['"), "id", F.lit("', \"it's "), "company", F.lit('"]')).alias("id_list"))
+    rows.coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_csv_archive(spark, path).withColumn("id_list", F.array_join("id_list", "|"))
+
+
+_MERGED_POSTINGS = (
+    f"SELECT * FROM ({over_postings_and(_FIRST, 'SELECT id, title, location, description, date_posted FROM merged')})")
+
+
+@query("archive_view", (
+    f"WITH postings AS (SELECT *, row_number() OVER () AS ord FROM ({_MERGED_POSTINGS})), {_PLACES}, {_DERIVED} "
+    "SELECT id, title, date_posted, city, state, has_ba, has_ma, has_phd, degree_bin FROM derived "
+    f"WHERE date_posted >= CAST(DATE '{AS_OF}' - 730 AS VARCHAR) AND degree_bin IN (0, 2, 3, 6, 7)"))
+def archive_view(spark, sf):
+    """The recent postings of an archive on disk, by the derived columns that it stores."""
+    archive = _stored(spark, ingested(spark, sf))[-1]
+    view = apply_filters(active(archive.postings, AS_OF, 730), {"degree": degree_filter("master")})
+    return view.select("id", "title", "date_posted", *DERIVED.fieldNames())

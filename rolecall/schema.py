@@ -44,6 +44,12 @@ POSTING = T.StructType([
 ])
 POSTING_COLS = POSTING.fieldNames()
 
+# Columns made from the texts of a posting.
+DERIVED = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("city", "state")]
+    + [T.StructField(c, T.BooleanType()) for c in ("has_ba", "has_ma", "has_phd")]
+    + [T.StructField("degree_bin", T.IntegerType())])
+
 # The fields kept once per collected source posting.
 INSTANCE_COLS = [
     "id", "site", "job_url", "job_url_direct", "date_posted", "title", "location",
