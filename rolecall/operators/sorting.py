@@ -24,13 +24,24 @@ def standard_order(
     return rest + [F.col(c).asc_nulls_last() for c in tiebreak]
 
 
-def typed_order(levels: Sequence[tuple[str, bool]], fold_case: bool = True) -> list[Column]:
-    """Multi-level order of text cells: by leading number where there is one, else by text."""
+LOCALE = "UNICODE"  # the root collation, in which accents and case decide last
+
+
+def typed_order(levels: Sequence[tuple[str, bool]], fold_case: bool = True, collation: str = LOCALE) -> list[Column]:
+    """Multi-level order of text cells: numbers by value, texts as the locale sorts them.
+
+    Two cells that start with a number compare by it and are equal if it is equal, whatever follows. Any other
+    two compare as texts, so numbers stand after texts that start with a sign and before those that start with
+    a letter. Nulls come last.
+    """
     order: list[Column] = []
     for name, ascending in levels:
         text = F.trim(F.col(name).cast("string"))
         number = F.regexp_extract(text, _NUMBER, 1).try_cast("double")
-        for key in (number, F.lower(text) if fold_case else text):
+        sorted_as = F.collate(F.lower(text) if fold_case else text, collation)
+        kind = F.when(number.isNotNull(), 1).when(sorted_as < F.collate(F.lit("0"), collation), 0)
+        kind = F.when(text.isNotNull(), F.coalesce(kind, F.lit(2)))
+        for key in (kind, number, F.when(number.isNull(), sorted_as)):
             order.append(key.asc_nulls_last() if ascending else key.desc_nulls_last())
     return order
 

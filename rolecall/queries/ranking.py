@@ -15,8 +15,9 @@ from ..operators.sorting import standard_order, typed_order
 from ..plans.fixture import AS_OF, postings, table
 from ..plans.rank import rank, score_profiles, scored_view
 from ..schema import DEFAULT_COLUMNS, DEFAULT_LABELS, INSTANCE_COLS, list_name
-from ..sources.html_report import html_rows
+from ..sources.html_report import FOOT, html_rows, read_report, report_head, write_report
 from ..sources.profiles import Profile
+from ..sources.storage import fresh_path
 from .base import over_derived, over_derived_and, over_postings, over_postings_and, query, quoted
 
 SITES = ["linkedin", "indeed"]
@@ -250,16 +251,46 @@ def lead_column_order(spark, sf):
     return by_both.select("ord", "id", "title", "keyword_score", "by_title", "by_keywords")
 
 
+_LEADING = r"'^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)'"
+
+
+def _typed_order(column: str, direction: str = "ASC") -> str:
+    """DuckDB sort keys of a text cell: kind, number, collated text."""
+    text = f"lower(trim({column}))"
+    number = f"TRY_CAST(regexp_extract({text}, {_LEADING}, 1) AS DOUBLE)"
+    key = f"icu_sort_key({text}, 'und')"
+    kind = (f"CASE WHEN {column} IS NULL THEN NULL WHEN {number} IS NOT NULL THEN 1 "
+            f"WHEN {key} < icu_sort_key('0', 'und') THEN 0 ELSE 2 END")
+    keys = (kind, number, f"CASE WHEN {number} IS NULL THEN {key} END")
+    return ", ".join(f"{k} {direction} NULLS LAST" for k in keys)
+
+
 @query("typed_multi_sort", over_postings(
-    "SELECT ord, title, min_amount, row_number() OVER (ORDER BY lower(trim(job_type)) DESC "
-    "NULLS LAST, lower(trim(title)) NULLS LAST, min_amount DESC NULLS LAST, ord) AS rank "
-    "FROM postings"))
+    f"SELECT ord, title, min_amount, row_number() OVER (ORDER BY {_typed_order('job_type', 'DESC')}, "
+    f"{_typed_order('title')}, min_amount DESC NULLS LAST, ord) AS rank FROM postings"))
 def typed_multi_sort(spark, sf):
     rows = postings(spark, sf).select("ord", "job_type", "title", "min_amount")
     order = typed_order([("job_type", False), ("title", True), ("min_amount", False)])
     return row_numbers(rows, [*order, F.col("ord")]).select("ord", "title", "min_amount", "rank")
 
 
+# Cells with accents, case, signs, numbers and numbers with units.
+_CELLS_OF = ["Émile", "emile", "EMIL", "Zoë", "zoe", "ångström", "Ångstrom", "10 km", "9", "9 lives", "-3.5", ".5x", "(draft)",
+             "_hidden", "", "straße", "Strasse", "ñandú", "nandu", "1e3", " élan", "e-mail"]
+_CELL_SQL = ("CASE ord % 23 " + " ".join(f"WHEN {i} THEN {quoted(c)}" for i, c in enumerate(_CELLS_OF)) + " END")
+
+
+@query("locale_order", over_postings(
+    f"SELECT ord, cell, row_number() OVER (ORDER BY {_typed_order('cell')}, ord) AS up, "
+    f"row_number() OVER (ORDER BY {_typed_order('cell', 'DESC')}, ord) AS down "
+    f"FROM (SELECT ord, {_CELL_SQL} AS cell FROM postings)"))
+def locale_order(spark, sf):
+    """Mixed cells in the order of the locale, both ways."""
+    rows = postings(spark, sf).select("ord", F.expr(_CELL_SQL).alias("cell"))
+    up = row_numbers(rows, [*typed_order([("cell", True)]), F.col("ord")], "up")
+    return row_numbers(up, [*typed_order([("cell", False)]), F.col("ord")], "down").select("ord", "cell", "up", "down")
+
+
 _PROFILE_ROWS = " UNION ALL ".join(
     f"SELECT ord, {quoted(name)} AS profile, site_score, location_score, degree_score, "
     f"keyword_score, keywords FROM ({_scored(p)})" for name, p in PROFILES.items())
@@ -355,20 +386,36 @@ def url_column_test(spark, sf):
 _ESCAPE = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query("html_rows", over_postings_and(
-    "dated AS (SELECT *, strptime(date_posted, '%Y-%m-%d') AS posted FROM postings)",
-    "SELECT ord, '<tr><td>' || CASE WHEN is_remote THEN '✕' ELSE '' END || "
+_HTML_ROW = (
+    "'<tr><td>' || CASE WHEN is_remote THEN '✕' ELSE '' END || "
     "'</td><td data-posted_key=\"' || CAST(epoch(posted) AS BIGINT) || '\">' || "
     "strftime(posted, '%m/%d') || '</td><td data-company_key=\"' || "
     + _ESCAPE.format("company") + " || '\">' || CASE WHEN job_url_direct IS NULL THEN '' ELSE "
     "'<a href=\"' || " + _ESCAPE.format("job_url_direct") + " || '\" target=\"_blank\" "
     "rel=\"noopener noreferrer\">' || " + _ESCAPE.format("company") + " || '</a>' END || "
-    "'</td><td>' || " + _ESCAPE.format("title") + " || '</td></tr>' AS row FROM dated"))
+    "'</td><td>' || " + _ESCAPE.format("title") + " || '</td></tr>'")
+_DATED = "dated AS (SELECT *, strptime(date_posted, '%Y-%m-%d') AS posted FROM postings)"
+_HEADERS = {"is_remote": "Remote", "posted": "Posted", "job_url_direct": "Link", "title": "Title"}
+_SORT_KEYS = {"posted": "posted", "job_url_direct": "company"}
+
+
+def _dated(spark, sf):
+    return postings(spark, sf).withColumn("posted", F.col("date_posted").cast("timestamp"))
+
+
+@query("html_rows", over_postings_and(_DATED, f"SELECT ord, {_HTML_ROW} AS row FROM dated"))
 def html_table_rows(spark, sf):
-    rows = postings(spark, sf).withColumn("posted", F.col("date_posted").cast("timestamp"))
-    headers = {"is_remote": "Remote", "posted": "Posted", "job_url_direct": "Link", "title": "Title"}
-    keys = {"posted": "posted", "job_url_direct": "company"}
-    return html_rows(rows, headers, keys).select("ord", "row")
+    return html_rows(_dated(spark, sf), _HEADERS, _SORT_KEYS).select("ord", "row")
+
+
+@query("html_report", over_postings_and(
+    _DATED, f"SELECT 0 AS part, {quoted(report_head(_HEADERS, _SORT_KEYS))} AS line UNION ALL "
+    f"SELECT 1, {_HTML_ROW} FROM dated UNION ALL SELECT 2, {quoted(FOOT)}"))
+def html_report(spark, sf):
+    """A report written by the sink and read back: head, rows and foot."""
+    path = fresh_path(spark, "report")
+    write_report(_dated(spark, sf), path, _HEADERS, _SORT_KEYS)
+    return read_report(spark, path).select(F.substring("file", 1, 1).cast("int").alias("part"), "line")
 
 
 def flagship(spark, sf):
