@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 # Default cell width, and how unusual a length may be before it is ignored.
 WIDTH, MAX_Z = 80, 2
@@ -55,6 +59,38 @@ def merge_metrics(before: DataFrame | None, batch: DataFrame, after: DataFrame)
         found, (collected - (size - old)).alias("duplicates"), size.alias("archive_size"))
 
 
+def land_requests(
+    requests: Sequence[tuple[str, str, DataFrame]], landing: str, file_format: str = "parquet"
+) -> list[tuple[str | None, str | None, int, float]]:
+    """Land each request's rows; (query, location, collected, seconds) of each, and of the run under nulls.
+
+    Rows are counted by the job that writes them, so nothing is read twice.
+    """
+    found, began = [], time.monotonic()
+    for number, (query, location, rows) in enumerate(requests):
+        start, seen = time.monotonic(), Observation(f"request-{number}")
+        rows.observe(seen, F.count(F.lit(1)).alias("collected")).write.mode("append").format(file_format).save(landing)
+        found.append((query, location, seen.get["collected"], time.monotonic() - start))
+    return [*found, (None, None, sum(f[2] for f in found), time.monotonic() - began)]
+
+
+class Progress(StreamingQueryListener):
+    """What each batch of a stream has read, and how long it took: (batch, rows, seconds)."""
+
+    def __init__(self):
+        self.batches: list[tuple[int, int, float]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        done = event.progress
+        self.batches.append((done.batchId, done.numInputRows, done.batchDuration / 1000))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def request_counts(collected: DataFrame) -> DataFrame:
     """Rows collected per request, with the run total as the row of null query and location."""
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.metrics import request_counts
+from ..operators.metrics import land_requests, request_counts
 from ..plans.fixture import AS_OF, postings, table
 from ..plans.merge import ingest
 from ..schema import POSTING_COLS
@@ -138,3 +138,17 @@ def profile_sink(spark, sf):
     return read_written_profiles(spark, folder).select(
         "profile", "hours_old", "max_age_days",
         F.array_join("locations_selected", "|").alias("locations"), "degree_level")
+
+
+@query("request_metrics", over_postings(
+    "SELECT coalesce(nullif(site, ''), 'any site') AS query, 'anywhere' AS location, count(*) AS collected, true AS timed "
+    "FROM postings GROUP BY site UNION ALL SELECT NULL, NULL, count(*), true FROM postings"))
+def request_metrics(spark, sf):
+    """Rows and time of each request of a run that lands them, and of the whole run."""
+    rows = postings(spark, sf)
+    kept = rows.select(*[c for c in rows.columns if c in POSTING_COLS])
+    requests = [(site or "any site", "anywhere", kept.where(F.col("site") == site))
+                for site in ("linkedin", "indeed", "LinkedIn", "")]
+    found = land_requests(requests, fresh_path(spark, "landing"))
+    return spark.createDataFrame(found, "query string, location string, collected long, seconds double").select(
+        "query", "location", "collected", (F.col("seconds") >= 0).alias("timed"))
