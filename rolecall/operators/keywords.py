@@ -2,14 +2,14 @@
 
 Scoring looks for every term in every text, which is fine for some dozens. For a table of terms the texts
 are read twice however many terms there are. The first reading gathers the distinct words of all texts (runs
-without a space); terms are found in those by an equi-join on three-letter grams, a text's words being far
-fewer than its characters. The second reading joins each text's words with the words that hold a term. A
-term of several words is looked for piece by piece: its first piece ends a word, the last one starts one,
-and those between are words, at consecutive places.
-
-Terms that are no plain text (regular expressions, terms with other letters than ASCII, or with spaces at an
-end or next to each other) are looked for one by one, as in ``scoring``; of those there may be
-``MOST_PATTERNS``.
+without a space); terms are found in those by an equi-join on three-letter grams, the words being far fewer
+than the texts' characters. The second reading joins each text's words with the words that hold a term. A
+term of several words is looked for by its longest one, and where that is met it is compared with the words
+around.
+
+Terms that are no plain text (regular expressions, terms with other letters than ASCII, with spaces at an
+end or next to each other, or of over ``MOST_WORDS`` words) are looked for one by one, as in ``scoring``; of
+those there may be ``MOST_PATTERNS``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .filters import any_of, never_null
 TEXTS = ("title", "description")
 GRAM = 3
 MOST_PATTERNS = 500
+MOST_WORDS = 6
 # A regular expression that is a plain ASCII text: no syntax, or escaped.
 _PLAIN = r"^(?:[\x00-\x7F&&[^\\.^$*+?{}\[\]|()]]|\\[\x00-\x7F&&[^A-Za-z0-9]])+$"
 
@@ -36,12 +37,18 @@ def term_table(spark: SparkSession, scored_terms: Mapping[int, Sequence[str]]) -
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place long, term string, weight int")
 
 
-def _pieces(terms: DataFrame) -> DataFrame:
-    """(place, n, k, piece, gram) of every piece of the plain terms."""
-    plain = F.lower(F.regexp_replace("term", r"\\(.)", "$1"))
-    split = terms.select("place", F.split(plain, " ").alias("pieces"))
-    each = split.select("place", F.size("pieces").alias("n"), F.posexplode("pieces").alias("k", "piece"))
-    return each.withColumn("gram", F.substring("piece", 1, GRAM))
+def _plain() -> Column:
+    """A plain term's text, folded."""
+    return F.lower(F.regexp_replace("term", r"\\(.)", "$1"))
+
+
+def _anchors(terms: DataFrame) -> DataFrame:
+    """(place, n, k, piece, gram, phrase): of each plain term its longest word, the kth of n."""
+    split = terms.select("place", _plain().alias("phrase"), F.split(_plain(), " ").alias("pieces"))
+    sizes = F.transform("pieces", F.length)
+    longest = split.withColumn("n", F.size("pieces")).withColumn("k", F.array_position(sizes, F.array_max(sizes)).cast("int") - 1)
+    anchor = longest.withColumn("piece", F.get("pieces", F.col("k"))).drop("pieces")
+    return anchor.withColumn("gram", F.substring("piece", 1, GRAM))
 
 
 def _words(rows: DataFrame, columns: Sequence[str]) -> Column:
@@ -53,25 +60,23 @@ def _words(rows: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def _is_plain() -> Column:
-    inner = F.regexp_replace("term", r"\\(.)", "$1")
+    inner = _plain()
     single_spaces = ~inner.startswith(" ") & ~inner.endswith(" ") & ~inner.contains("  ")
-    return F.col("term").rlike(_PLAIN) & single_spaces
+    return F.col("term").rlike(_PLAIN) & single_spaces & (F.size(F.split(inner, " ")) <= MOST_WORDS)
 
 
-def holding_words(rows: DataFrame, terms: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
-    """(word, place, n, k): the texts' distinct words that a piece of a plain term fits."""
-    pieces = materialize(_pieces(terms), "pieces")
-    sizes = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()]  # 1 to GRAM
+def holding_words(rows: DataFrame, anchors: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
+    """(word, place, phrase): the texts' distinct words that an anchor fits; phrase is null for single words."""
+    sizes = [r[0] for r in anchors.select(F.length("gram")).distinct().collect()]  # 1 to GRAM
     words = rows.select(F.explode(F.array_distinct(_words(rows, columns))).alias("word")).distinct()
-    grams = [_grams(size) for size in sizes]
-    offered = words.select("word", F.explode(F.array_distinct(F.concat(*grams))).alias("gram")) if grams else (
-        words.select("word", F.lit("").alias("gram")))
+    grams = F.array_distinct(F.concat(*map(_grams, sizes))) if sizes else F.array().cast("array<string>")
     word, piece = F.col("word"), F.col("piece")
     first, last = F.col("k") == 0, F.col("k") == F.col("n") - 1
     fits = (
         F.when(F.col("n") == 1, word.contains(piece)).when(first, word.endswith(piece))
         .when(last, word.startswith(piece)).otherwise(word == piece))
-    return offered.join(pieces, "gram").where(fits).select("word", "place", "n", "k")
+    return words.select("word", F.explode(grams).alias("gram")).join(anchors, "gram").where(fits).select(
+        "word", "place", F.when(F.col("n") > 1, F.col("phrase")).alias("phrase"))
 
 
 def _grams(size: int) -> Column:
@@ -82,15 +87,18 @@ def _grams(size: int) -> Column:
 
 
 def _plain_hits(rows: DataFrame, terms: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    held = materialize(holding_words(rows, terms, columns), "words")
-    several = held.where("n > 1").limit(1).count() > 0
-    if not several:  # places do not matter
+    anchors = materialize(_anchors(terms), "anchors")
+    held = materialize(holding_words(rows, anchors, columns), "words")
+    longest = anchors.agg(F.max("n")).first()[0] or 1
+    if longest == 1:
         each = rows.select(key, F.explode(F.array_distinct(_words(rows, columns))).alias("word"))
         return each.join(held, "word").select(key, "place").distinct()
-    each = rows.select(key, F.posexplode(_words(rows, columns)).alias("at", "word"))
-    start = F.when(F.col("n") == 1, F.lit(-1)).otherwise(F.col("at") - F.col("k"))
-    found = each.join(held, "word").groupBy(key, "place", "n", start.alias("start")).agg(F.count(F.lit(1)).alias("pieces"))
-    return found.where("pieces >= n").select(key, "place").distinct()
+    # every word with the words around it that a phrase may need
+    around = lambda i: F.array_join(F.slice("_words", F.greatest(i - (longest - 2), F.lit(1)), 2 * longest - 1), " ")
+    placed = F.transform("_words", lambda w, i: F.struct(w.alias("word"), around(i).alias("around")))
+    each = rows.select(key, _words(rows, columns).alias("_words")).select(key, F.inline(placed))
+    met = each.join(held, "word").where(F.col("phrase").isNull() | F.col("around").contains(F.col("phrase")))
+    return met.select(key, "place").distinct()
 
 
 def _pattern_hits(rows: DataFrame, terms: Sequence, key: str, columns: Sequence[str]) -> DataFrame:

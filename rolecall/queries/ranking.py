@@ -172,11 +172,10 @@ def keyword_score_50(spark, sf):
         "keywords", F.array_join("keywords", ", "))
 
 
-# Every word of the benchmark items, and every two that stand next to each other.
+# Words of five letters and more of the benchmark items, and such a word with the one after it.
 _ITEM_WORDS = """words AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
-listed AS (
-  SELECT unnest(w) AS term FROM words
-  UNION SELECT w[i] || ' ' || w[i + 1] FROM words, unnest(range(1, len(w))) AS t(i)),
+each AS (SELECT w[i] AS one, w[i + 1] AS other FROM words, unnest(range(1, len(w) + 1)) AS t(i) WHERE length(w[i]) > 4),
+listed AS (SELECT one AS term FROM each UNION SELECT one || ' ' || other FROM each WHERE other IS NOT NULL),
 terms AS (SELECT term, row_number() OVER (ORDER BY term) AS place, length(term) % 3 - 1 AS weight FROM listed)"""
 
 
@@ -193,10 +192,10 @@ sums AS (SELECT ord, CAST(sum(weight) AS INT) AS score, count(*) AS n FROM hits
 def keyword_score_many(spark, sf):
     """Some thousand terms, words and phrases, as a table."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(
-        x, F.lit(" "), F.get("w", i + 1)))
-    listed = table(spark, sf, "benchmark").select(words.alias("w")).select(
-        F.explode(F.concat("w", pairs)).alias("term")).distinct()
+    pairs = F.transform("w", lambda x, i: F.struct(x.alias("one"), F.get("w", i + 1).alias("other")))
+    each = table(spark, sf, "benchmark").select(words.alias("w")).select(F.inline(pairs)).where(F.length("one") > 4)
+    both = F.array_compact(F.array("one", F.concat("one", F.lit(" "), "other")))
+    listed = each.select(F.explode(both).alias("term")).distinct()
     terms = row_numbers(listed, [F.col("term")], "place").withColumn("weight", F.length("term") % 3 - 1)
     rows = postings(spark, sf).select("ord", "title", "description")
     return keyword_scores(rows, terms, "ord").select(
