@@ -27,6 +27,7 @@ TEXTS = ("title", "description")
 GRAM = 3
 MOST_PATTERNS = 500
 MOST_WORDS = 6
+FEW = 100  # terms for which one scan of the texts each costs less
 # A regular expression that is a plain ASCII text: no syntax, or escaped.
 _PLAIN = r"^(?:[\x00-\x7F&&[^\\.^$*+?{}\[\]|()]]|\\[\x00-\x7F&&[^A-Za-z0-9]])+$"
 
@@ -105,19 +106,23 @@ def _pattern_hits(rows: DataFrame, terms: Sequence, key: str, columns: Sequence[
     folded = {f"_folded_{i}": fold(F.col(c)) for i, c in enumerate(columns)}
     hits = [
         F.when(any_of(*(never_null(search_folded(F.col(name), F.col(c), r["term"])) for name, c in zip(folded, columns))),
-               F.lit(r["place"]))
+               F.lit(r["place"]).cast("long"))
         for r in terms
     ]
-    return rows.select(key, *columns).withColumns(folded).select(
-        key, F.explode(F.array_compact(F.array(*hits))).alias("place"))
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<long>")
+    return rows.select(key, *columns).withColumns(folded).select(key, F.explode(found).alias("place"))
 
 
-def keyword_hits(rows: DataFrame, terms: DataFrame, key: str, columns: Sequence[str] = TEXTS) -> DataFrame:
+def keyword_hits(rows: DataFrame, terms: DataFrame, key: str, columns: Sequence[str] = TEXTS, few: int = FEW) -> DataFrame:
     """(key, place): which terms occur in any of a row's texts, ignoring case.
 
     ``terms`` is (place, term); terms are regular expressions. ``key`` tells the rows apart and has no nulls.
+    Up to ``few`` terms are looked for one by one.
     """
     terms = terms.where("term <> ''").select("place", "term")
+    listed = terms.limit(few + 1).collect()
+    if len(listed) <= few:
+        return _pattern_hits(rows, listed, key, columns)
     patterns = terms.where(~_is_plain()).limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} terms are no plain texts")
@@ -125,13 +130,15 @@ def keyword_hits(rows: DataFrame, terms: DataFrame, key: str, columns: Sequence[
     return hits.union(_pattern_hits(rows, patterns, key, columns)) if patterns else hits
 
 
-def keyword_scores(rows: DataFrame, terms: DataFrame, key: str, columns: Sequence[str] = TEXTS) -> DataFrame:
+def keyword_scores(
+    rows: DataFrame, terms: DataFrame, key: str, columns: Sequence[str] = TEXTS, few: int = FEW
+) -> DataFrame:
     """(key, keyword_score, keywords) of every row: the sum of its terms' weights, and the terms in table order.
 
     ``terms`` is (place, term, weight); backslashes are left out of the names.
     """
     named = terms.select("place", F.replace("term", F.lit("\\"), F.lit("")).alias("name"), "weight")
-    found = keyword_hits(rows, terms, key, columns).join(named, "place").groupBy(key).agg(
+    found = keyword_hits(rows, terms, key, columns, few).join(named, "place").groupBy(key).agg(
         F.sum("weight").cast("int").alias("keyword_score"),
         F.array_sort(F.collect_list(F.struct("place", "name"))).getField("name").alias("keywords"))
     return rows.select(key).join(found, key, "left").select(

@@ -82,8 +82,9 @@ def test_hits_match_plain_search(spark):
     terms = spark.createDataFrame(list(enumerate(TERMS)), "place long, term string")
     for chosen in (terms, terms.where("term not rlike ' '"), terms.where("term = 'data'"), terms.where("false")):
         listed = [tuple(r) for r in chosen.collect()]
-        got = sorted(tuple(r) for r in keyword_hits(rows, chosen, "ord").collect())
-        assert got == plain_hits(TEXTS, listed)
+        for few in (0, 100):
+            got = sorted(tuple(r) for r in keyword_hits(rows, chosen, "ord", few=few).collect())
+            assert got == plain_hits(TEXTS, listed)
     assert keyword_hits(rows.where("false"), terms, "ord").count() == 0
 
 
