@@ -7,17 +7,17 @@ is paid and the next shorter context is asked, down to eight bits for any byte (
 without exclusions). Statistics are frozen while scoring. The shortest code length names the
 language; the score is that language's share of ``2 ** -bits`` over all languages.
 
-Counting is distributed: each task counts four-byte grams, Spark adds them up. The model keeps grams
-that make up at least ``MIN_SHARE`` of their language's bytes, so it has at most ``1 / MIN_SHARE``
-grams a language however large the corpus is; that bounds what is broadcast.
+The model is learned from labelled rows with all their grams. Of each language, rows are taken by a hash
+of their text so that all languages together make up about ``FIT_BYTES`` bytes; with less, every row is
+taken. So the model has at most about as many grams as that, however large the corpus is, which bounds
+what is broadcast. Counting is distributed: each task counts four-byte grams, Spark adds them up.
 
-Texts are lower-cased first. A null text or one without a letter is ``und`` with score 0, also when
+Texts are lower-cased first. A null text or one without a letter (by ``str.isalpha``) is ``und`` with score 0, also when
 nothing could be learned. Ties go to the smaller language name. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,18 +31,17 @@ from .common import Index, buffers, materialize, sliced
 
 ORDER = 3
 PAD = 10  # a text starts after ORDER line feeds
-MIN_SHARE = 1e-6
+FIT_BYTES = 32 << 20  # bytes of labelled texts to learn from
 MAX_BITS = 8.0  # a text that costs more bits a byte than this is like none of the languages
-CHUNK = 1 << 21
-LETTER = re.compile(r"[^\W\d_]")
+SLICE = 1 << 20  # bytes of text that are counted or scored in one go
 
 
 def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grams ending at each place of the padded texts, row of each place, and whether it is text."""
     starts, data = buffers(texts)
     n = len(starts) - 1
-    row = np.repeat(np.arange(n), np.diff(starts))
-    at = np.arange(len(data)) + ORDER * (row + 1)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
+    at = np.arange(len(data), dtype=np.int32) + ORDER * (row + 1)
     padded = np.full(len(data) + ORDER * n, PAD, np.uint32)
     padded[at] = data
     gram = padded.copy()
@@ -61,7 +60,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found[lang] = [(keys, np.bincount(inverse, counts, len(keys)).astype(np.int64))]
 
     for whole in batches:
-        for batch in sliced(whole, "text"):
+        for batch in sliced(whole, "text", SLICE):
             langs, texts = batch.column("lang"), pc.utf8_lower(batch.column("text"))
             for lang in pc.unique(langs).to_pylist():
                 grams, _, _ = _padded(texts.filter(pc.equal(langs, lang)))
@@ -76,10 +75,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(counts)], ["lang", "gram", "n"])
 
 
+def fitting_rows(texts: DataFrame, fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """The (text, lang) rows to learn from: about as many bytes of each language, by a hash of the text."""
+    known = texts.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
+    totals = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"))  # one row a language
+    share = totals.select("lang", F.try_divide(F.lit(fit_bytes / max(1, totals.count())), "total").alias("share"))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return (known.join(F.broadcast(share), "lang").where(F.coalesce(place < F.col("share"), F.lit(True)))
+            .select("lang", "text"))
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """How often each four-byte gram occurs in each language: (lang, gram, n)."""
-    known = texts.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    return (known.mapInArrow(_counted, "lang string, gram long, n long")
+    return (texts.mapInArrow(_counted, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -111,10 +119,10 @@ class Model:
         """Bits of every (lower-cased) text in every language, and its length in bytes."""
         grams, row, _ = _padded(texts)
         out = np.zeros((len(texts), len(self.langs)))
-        for start in range(0, len(grams), CHUNK):
-            rows = row[start:start + CHUNK]
+        for start in range(0, len(grams), SLICE):
+            rows = row[start:start + SLICE]
             first = np.flatnonzero(np.diff(rows, prepend=-1))
-            bits = self.bits(grams[start:start + CHUNK])
+            bits = self.bits(grams[start:start + SLICE])
             out[rows[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
         return out, np.bincount(row, minlength=len(texts))
 
@@ -151,23 +159,21 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -
     return Model(langs, costs, escapes)
 
 
-def train(texts: DataFrame, min_share: float = MIN_SHARE) -> Model | None:
+def train(texts: DataFrame, fit_bytes: int = FIT_BYTES) -> Model | None:
     """Learn from the rows of (text, lang) with both; None if there is nothing to learn from."""
-    counts = materialize(gram_counts(texts), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # one row a language
-    kept = (counts.join(F.broadcast(totals), "lang").where(F.col("n") >= min_share * F.col("total"))
-            .select("lang", "gram", "n").toPandas())
-    if not len(kept):
+    rows = materialize(fitting_rows(texts, fit_bytes), "fitting")
+    counts = gram_counts(rows).toPandas()  # at most a row for each byte that is learned from
+    if not len(counts):
         return None
-    langs = sorted(kept["lang"].unique())
+    langs = sorted(counts["lang"].unique())
     place = {lang: i for i, lang in enumerate(langs)}
-    return build(langs, kept["lang"].map(place).to_numpy(), kept["gram"].to_numpy(),
-                 kept["n"].to_numpy())
+    return build(langs, counts["lang"].map(place).to_numpy(), counts["gram"].to_numpy(),
+                 counts["n"].to_numpy())
 
 
 def judged(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and bits a byte of each text."""
-    spoken = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+    spoken = np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], bool)
     if model is None or not len(texts):
         return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     bits, size = model.code_lengths(pc.utf8_lower(texts))
@@ -184,7 +190,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", SLICE):
                 langs, score, bits = judged(shared.value, batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score),
@@ -201,7 +207,7 @@ def keep_identified(docs: DataFrame, model: Model | None, max_bits: float = MAX_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", SLICE):
                 langs, _, bits = judged(shared.value, batch.column("text"))
                 keep = np.array([x != "und" for x in langs], bool) & (bits <= max_bits)
                 yield batch.filter(pa.array(keep))

@@ -46,7 +46,7 @@ def plain_bits(texts, lang, text):
 
 
 def test_code_lengths_are_exact(spark):
-    model = langid.train(spark.createDataFrame(TEXTS, "lang string, text string"), min_share=0.0)
+    model = langid.train(spark.createDataFrame(TEXTS, "lang string, text string"))
     assert model.langs == ["de", "en"]
     texts = [t for t in ODD if t]
     bits, _ = model.code_lengths(pa.array([t.lower() for t in texts]))
@@ -65,6 +65,24 @@ def test_language_of_odd_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_letters_are_letters_only(spark):
+    model = langid.train(spark.createDataFrame(TEXTS, "lang string, text string"))
+    signs = ["²", "½", "①", "Ⅷ", "١٢", "_", "\u0301", "🙂", "ª", "ʰ", "ǅ", "字"]
+    docs = spark.createDataFrame([*enumerate(signs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert [got[i] == "und" for i in range(len(signs))] == [not s.isalpha() for s in signs] == [True] * 8 + [False] * 4
+
+
+def test_what_is_learned_from_is_bounded(spark):
+    rows = [("en", f"the cat {i} and the hat") for i in range(400)] + [("de", f"der Hund {i} und die Katze") for i in range(4000)]
+    texts = spark.createDataFrame([*rows, ("xx", None), (None, "x"), ("yy", "")], "lang string, text string")
+    taken = {r["lang"]: r["sum"] for r in langid.fitting_rows(texts, 30_000).groupBy("lang").agg(
+        F.sum(F.octet_length("text")).alias("sum")).collect()}
+    assert taken["en"] == sum(len(t) for x, t in rows if x == "en") and taken["yy"] == 0 and set(taken) == {"en", "de", "yy"}
+    assert 5_000 < taken["de"] < 15_000  # a third of the bound for each language
+    assert langid.fitting_rows(texts).count() == len(rows) + 1
+
+
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert langid.train(none) is None
