@@ -67,12 +67,67 @@ def test_repeated_and_missing_ids(spark):
     assert near.groups(frame.where("false")).count() == near.deduplicated(frame.where("false")).count() == 0
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    rows = [(1, "a b c d e f", 1), (1, "u v w x y z", 2), (1, "a b c d e f", 1), (2, "U v w x y z", 3), (3, "", 4), (3, None, 5), (4, "q r", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    got = sorted(tuple(r) for r in near.groups(frame).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3), (4, 1, 4)]
+    kept = sorted((tuple(r) for r in near.deduplicated(frame).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[4], rows[5], rows[6]], key=str)
+
+
+@pytest.mark.parametrize("percent, least", [(80, 7), (60, 3), (50, 2), (95, 7), (10, 1), (100, 7)])
+def test_bands_follow_from_the_similarity(percent, least):
+    bands, rows = near.bands_for(percent)
+    assert rows == least and (1 - min(percent / 100, 0.99) ** rows) ** bands <= near.MISSED
+    with pytest.raises(ValueError):
+        near.bands_for(0)
+
+
+def test_lower_similarity_matches_brute_force(spark):
+    rng = random.Random(6)
+    docs = []
+    for base in range(25):
+        text = words(rng, 40)
+        for _ in range(3):
+            docs.append(" ".join("edit" if rng.random() < 0.12 else w for w in text))
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near.groups(frame, 1, 50).collect()) == plain_groups(docs, 1, 50)
+
+
+def test_links_in_a_cloud(spark):
+    """Hundreds of texts that are all almost similar enough, so that every bucket stays open."""
+    rng = random.Random(11)
+    base, docs = words(rng, 150, 5000), []
+    for i in range(500):
+        text = list(base)
+        for k in rng.sample(range(150), rng.choice([4, 5, 5, 5, 6])):  # similarities of .72 to .81 in pairs
+            text[k] = f"new{rng.randint(0, 3)}_{k}"
+        docs.append((i, " ".join(text)))
+    sets = [near.word_set(WordHashes(), t.encode(), 2) for _, t in docs]
+    links = [(i, j) for i in range(500) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j], True))) >= 80 * (
+        len(sets[i]) + len(sets[j]) - k)]
+    got = {r["doc_id"]: r["component_id"] for r in near.groups(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80).collect()}
+    found = sum(got[i] == got[j] for i, j in links)
+    assert 1000 < len(links) < 0.2 * 500 * 499 / 2 and found >= 0.99 * len(links)
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    rng = random.Random(12)
+    text = words(rng, 60_000, 50_000)
+    other = text[:50_000] + words(rng, 12_000, 50_000)
+    docs = [(1, " ".join(text)), (2, " ".join(text[:59_000])), (3, " ".join(other)), (4, "short")]
+    got = [r["component_id"] for r in near.groups(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [r[2] for r in plain_groups(docs, 5, 80)] == [1, 1, 3, 4]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for size in (1, 4, 60, 2000):
         pool = rng.integers(0, 1 << 63, 2 * size, np.uint64)
         one, other = pool[:size], np.concatenate([pool[:size - size // 5], pool[size:size + size // 5]])
-        a, b, again = near.sketches([one, other, one[::-1]])
+        a, b, again = near.sketches([one, other, one[::-1]], 413)
         assert (a != near.EMPTY).all() and (a == again).all()
         true = len(set(one.tolist()) & set(other.tolist())) / len(set(one.tolist()) | set(other.tolist()))
         assert abs((a == b).mean() - true) < 0.25
