@@ -14,7 +14,8 @@ with components beyond 2**26 are scored with exact Python integers and cut to th
 
 Blocks of candidates meet blocks of queries by a join on (dimension, query block, lane). Lanes spread
 the candidates of one query block over tasks, and every lane has its own copy of the query block, so
-no task holds more than one block of each side at a time.
+no task holds more than one block of each side at a time. There are no more lanes than candidate blocks, and
+blocks are shuffled, never broadcast, as a broadcast would pass all copies through the driver.
 """
 
 from __future__ import annotations
@@ -140,12 +141,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     bound = asked.join(F.broadcast(peaks), "dim").agg(
         F.max(F.col("norm") * F.col("peak"))).first()[0] or 0.0
     bound = min(int(bound * (1 + 1e-9)) + 1, LONG)
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.count()))
     spread = candidates.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes))).join(
-        asked.select("dim", "block"), "dim").select("block", "lane", "ids", "data")
-    copies = asked.select(
-        "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+        F.broadcast(asked.select("dim", "block")), "dim").select("block", "lane", "ids", "data")  # a row per query block
     each = asked.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("q"))
     lows = materialize(each.withColumn("low", F.lit(-bound)), "lows")
 
@@ -153,7 +151,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
         """Blocks of candidates with blocks of queries and where each query's range starts."""
         packed = lows.groupBy("block").agg(
             F.array_sort(F.collect_list(F.struct("q", "low"))).getField("low").alias("low"))
-        return spread.join(copies.join(packed, "block"), ["block", "lane"])
+        copies = asked.join(packed.hint("merge"), "block").select(
+            "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "low",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+        return spread.join(copies.hint("merge"), ["block", "lane"])
 
     whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  the product may leave the range of a long
     width = -(-(2 * bound + 1) // BINS)
@@ -165,7 +166,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
         kth = (counted.withColumn("above", F.sum("n").over(down)).where(F.col("above") >= k)
                .groupBy("block", "q").agg(F.max("bin").alias("bin")))
         lows = materialize(
-            lows.join(kth, ["block", "q"], "left").select(
+            lows.join(kth.hint("merge"), ["block", "q"], "left").select(
                 "block", "q", (whole(F.col("low")) + whole(F.coalesce("bin", F.lit(0))) * whole(F.lit(width)))
                 .cast("long").alias("low")), "lows")
         if width == 1:
