@@ -281,7 +281,7 @@ def _kept(text: bytes, runs: list | None, copy: bool | None) -> tuple[list[bytes
 def summaries(docs: DataFrame, most: int = MOST) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every document row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole, "text", 4 << 20)):
             rows = [_kept(*x) for x in zip(raw_texts(batch.column("text")), batch.column("_runs").to_pylist(),
                                            batch.column("_copy").to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -302,21 +302,22 @@ def without_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     column, its new length; documents that lose all their words are dropped; the others do not change.
     """
     names = docs.columns
+    others = [n for n in names if n != "text"]  # the text goes once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole, "text", 4 << 20)):
             old, texts, keep = batch.column("text").to_pylist(), [], []
             for text, runs, copy in zip(old, batch.column("_runs").to_pylist(), batch.column("_copy").to_pylist()):
                 words, n = _kept((text or "").encode(), runs, copy)
                 texts.append(text if len(words) == n else b" ".join(words).decode())
                 keep.append(bool(words) or not n)
-            columns = dict(zip(names, batch.column("_row").flatten()))
-            columns["text"] = pa.array(texts, columns["text"].type)
+            columns = dict(zip(others, batch.column("_row").flatten()))
+            columns["text"] = pa.array(texts, batch.column("text").type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array(
                     [n if new == was else len(new) for n, new, was in zip(columns["n_chars"].to_pylist(), texts, old)],
                     columns["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_pydict({n: columns[n] for n in names}).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"))
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`") for n in others)).alias("_row"))
     return _with_runs(rows, most).select("text", "_row", "_runs", "_copy").mapInArrow(run, docs.schema)
