@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .patterns import WORD, fold, to_java
+from .arrow_text import fold_slashless, mentions
 
 # Spellings of each degree level.
 BACHELOR = [
@@ -21,19 +20,14 @@ MASTER = [
 DOCTORATE = [r"ph\.?d\.?", "doctor(?:ate|al)", "jd", "md", "edd", "dphil"]
 
 
-
-
 def slashless(text: Column) -> Column:
     """Folded text in which a slash separates words, ready for the level tests."""
-    return fold(F.replace(text, F.lit("/"), F.lit(" ")))
+    return fold_slashless(text)
 
 
 def _mentions(folded: Column, spellings: list[str]) -> Column:
     # Whole words only. A spelling's closing dot may be left out, so no word may follow.
-    firsts = "".join(dict.fromkeys(s[0] for s in spellings))  # spellings start with a letter or digit
-    start = f"(?=[{firsts}])(?<!{WORD})"
-    pattern = start + "(?:" + "|".join(spellings) + f")(?!{WORD})"
-    return F.coalesce(folded.rlike(to_java(pattern)), F.lit(False))
+    return mentions(folded, spellings)
 
 
 def has_bachelor(folded: Column) -> Column:

@@ -8,6 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow_text import found_places, scannable
 from ..functions.degrees import (
     degree_bin, has_bachelor, has_doctorate, has_master, slashless)
 from ..functions.location import parse_location
@@ -25,15 +26,14 @@ def derive(df: DataFrame) -> DataFrame:
     """Add city, state, the degree flags and the degree bit mask, where they are not stored."""
     if set(DERIVED.fieldNames()) <= set(df.columns):
         return df
-    text = F.col("_folded")
-    prepared = df.withColumns({
-        "_folded": slashless(F.col("description")), "_place": parse_location(F.col("location"))})
-    flagged = prepared.withColumns({
-        "has_ba": has_bachelor(text), "has_ma": has_master(text), "has_phd": has_doctorate(text)})
+    text = slashless(F.col("description"))  # in the same pass as the level tests
+    flagged = df.withColumns({
+        "has_ba": has_bachelor(text), "has_ma": has_master(text), "has_phd": has_doctorate(text),
+        "_place": parse_location(F.col("location"))})
     return flagged.withColumns({
         "city": F.col("_place.city"), "state": F.col("_place.state"),
         "degree_bin": degree_bin(F.col("has_ba"), F.col("has_ma"), F.col("has_phd")),
-    }).drop("_place", "_folded")
+    }).drop("_place")
 
 
 def rank_scores(order: Sequence[str], case_insensitive: bool = False) -> dict[str, int]:
@@ -62,14 +62,20 @@ def degree_score(weights: Sequence[int]) -> Column:
 
 def with_hits(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Add ``_hits``: the places of the terms found in title or description."""
-    folded = df.withColumns({"_title": fold(F.col("title")), "_text": fold(F.col("description"))})
+    texts = (F.col("title"), F.col("description"))
+    searches = [scannable(term) for term in terms]
+    scanned = [(i, s) for i, s in enumerate(searches) if s is not None]
+    folded = df.withColumns({"_title": fold(texts[0]), "_text": fold(texts[1])})
     hits = [
         F.when(
-            never_null(search_folded(F.col("_title"), F.col("title"), term))
-            | never_null(search_folded(F.col("_text"), F.col("description"), term)), F.lit(i))
-        for i, term in enumerate(terms)
+            never_null(search_folded(F.col("_title"), texts[0], term))
+            | never_null(search_folded(F.col("_text"), texts[1], term)), F.lit(i))
+        for i, term in enumerate(terms) if searches[i] is None
     ]
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+    if scanned:
+        places = found_places(texts, scanned)
+        found = F.array_sort(F.concat(places, found)) if hits else places
     return folded.withColumn("_hits", found).drop("_title", "_text")
 
 
