@@ -95,7 +95,7 @@ def collected_batch(spark, sf):
     """Rows landed as JSON files, read back with the posting schema, old ones dropped."""
     landing = fresh_path(spark, "landing")
     rows = postings(spark, sf)
-    rows.select(*[c for c in rows.columns if c in POSTING_COLS]).write.json(landing)
+    rows.select(*[c for c in rows.columns if c in POSTING_COLS]).write.json(landing, compression="gzip")
     landed = read_landing(spark, landing, "json")
     return collected(landed, f"{AS_OF} 12:00:00", 9000).select(*_SHOWN)
 
