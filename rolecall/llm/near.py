@@ -11,9 +11,11 @@ Equal sets are one class from the start (by a 128-bit digest of the sorted set).
 are compared with one of them, on the words of the whole texts, and linked if ``100 * shared >= percent *
 union``. Buckets that still hold several components are split by the places of one or two other bands, in
 many ways (``SPLITS``; buckets of a ``FEW`` classes stay whole), and each part's classes are compared with one
-that is drawn anew, if they are in another component. A class meets most of those it is similar to that way, while the comparisons stay in
-proportion to the buckets' rows; links within a component need no comparison. ``test_links_in_a_cloud`` and
-the README have the share of links that is found where a thousand texts are almost similar enough.
+that is drawn anew, if they are in another component. That joins most of what belongs together while the comparisons
+stay in proportion to the buckets' rows. Then every pair that shares a bucket and is still in two components is
+compared, in tiles of ``TILE`` classes a side, so no link is left out; links within a component need no comparison.
+Shared shingles are at most the sum of the smaller counts of each of ``BINS`` bins of shingles, which spares most of those
+pairs their texts. That last step grows with the square of a bucket where many texts are almost similar enough.
 A component's id is its smallest document id.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. With fewer words than the shingle's width
@@ -43,6 +45,8 @@ MOST_ROWS, MOST_BANDS = 7, 64
 # How far the one or two other bands lie that split a bucket; (0, 0) leaves it whole.
 SPLITS = [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5), (1, 2), (1, 5), (3, 7), (2, 9), (4, 11), (6, 13)]
 FEW = 8  # classes in a bucket that is not split
+BINS = 256
+TILE = 512  # classes on each side of what one key of the last comparison holds
 MOST_ASKED = 1 << 20  # rows of three integers that are broadcast to find their texts
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -175,6 +179,65 @@ def _parts(open_: DataFrame, bands: int) -> DataFrame:
     return open_.select(F.explode(F.flatten(F.array_compact(each))).alias("part"), "id", "n", "c")
 
 
+def _apart(joined: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, n, c): the buckets' classes with their components."""
+    return joined.join(labels, joined["id"] == labels["v"], "left").select(
+        "key", "id", "n", F.coalesce("label", "id").alias("c"))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """(key, m): buckets of several components and m classes; a bucket of two has been compared."""
+    return named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where(
+        "low < high and m > 2").select("key", "m")
+
+
+def _binned(texts: DataFrame, width: int) -> DataFrame:
+    """(id, bins): how many shingles of each text (id, text) fall in each bin, up to 255."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = (word_set(hashes, t, width) for t in raw_texts(batch.column("text")))
+            bins = [np.minimum(np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+                    for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bins, pa.binary())], ["id", "bins"])
+
+    return texts.mapInArrow(run, "id long, bins binary")
+
+
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs (a, b, n_a, n, bins_a, bins) that their bins do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                batch = whole.slice(at, 2048)
+                one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS)
+                              for c in ("bins_a", "bins"))
+                least = np.minimum(one, other)
+                most = least.sum(axis=1, dtype=np.int64)
+                sizes = batch.column("n_a").to_numpy() + batch.column("n").to_numpy()
+                keep = (100 * most >= percent * (sizes - most)) | (least == 255).any(axis=1)  # 255 is 255 or more
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _crossing(named: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes (key, id, n, c) that share a bucket, but no component, and can be similar enough.
+
+    A bucket's classes are dealt to blocks, and every two blocks meet in a tile of their own.
+    """
+    mixed = _mixed(named).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
+    dealt = named.join(mixed, "key").join(bins, "id").withColumn("x", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    one = dealt.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("bins").alias("bins_a"), F.col("x").alias("i"),
+                       F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)).alias("j"))
+    other = dealt.select("key", "id", "n", "c", "bins", F.col("x").alias("j"), F.explode(F.sequence(F.lit(0), F.col("x"))).alias("i"))
+    pairs = one.join(other, ["key", "i", "j"]).where(
+        (F.col("c") != F.col("c_a")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("id")))
+        & _alike(F.col("n"), F.col("n_a"), percent)).select(
+        F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"), "n_a", "n", "bins_a", "bins")
+    return _possible(pairs, percent).distinct()
+
+
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, mark, n_shingles, digest), and (digest, component, component_id) of every set."""
     bands, _ = bands_for(percent)
@@ -195,11 +258,8 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     links = materialize(confirmed(stars, texts, width, percent), "links")
     labels = components(links)
 
-    named = materialize(joined.join(labels, joined["id"] == labels["v"], "left").select(
-        "key", "id", "n", F.coalesce("label", "id").alias("c")), "named")
-    # a bucket of two has been compared
-    split = materialize(named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m"))
-                        .where("low < high and m > 2").select("key", (F.col("m") > FEW).alias("many")), "split")
+    named = materialize(_apart(joined, labels), "named")
+    split = materialize(_mixed(named).select("key", (F.col("m") > FEW).alias("many")), "split")
     open_ = named.join(split, "key").groupBy("id").agg(
         F.max("n").alias("n"), F.max("c").alias("c"), F.collect_set("key").alias("open"),
         F.collect_set(F.when(F.col("many"), F.col("key"))).alias("large"))
@@ -213,7 +273,15 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     met = parts.join(drawn, "part").where((F.col("c") != F.col("c_a")) & _alike(F.col("n"), F.col("n_a"), percent))
     rest = met.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct().join(
         stars, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(rest, "rest"), texts, width, percent), "links")
+    rest = materialize(rest, "rest")
+    more = materialize(confirmed(rest, texts, width, percent), "links")
+    if more.limit(1).count():
+        links = links.union(more)
+        labels = components(links)
+    apart = materialize(_apart(joined.join(split, "key", "left_semi"), labels), "apart")
+    bins = materialize(_binned(texts.join(apart.select("id").distinct(), "id", "left_semi"), width), "bins")
+    left = materialize(_crossing(apart, bins, percent).join(stars.union(rest), ["a", "b"], "left_anti"), "crossing")
+    more = materialize(confirmed(left, texts, width, percent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
     named = materialize(classes.join(labels, classes["id"] == labels["v"], "left").select(

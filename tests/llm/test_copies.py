@@ -113,6 +113,21 @@ def test_links_in_a_cloud(spark):
     assert 1000 < len(links) < 0.2 * 500 * 499 / 2 and found >= 0.99 * len(links)
 
 
+def test_no_link_of_an_open_bucket_is_left_out(spark, monkeypatch):
+    """What drawn classes miss is found by comparing all that is left, tile by tile."""
+    rng = random.Random(13)
+    base, docs = words(rng, 150, 5000), []
+    for i in range(120):
+        text = list(base)
+        for k in rng.sample(range(150), rng.choice([5, 6, 7])):
+            text[k] = f"new{rng.randint(0, 3)}_{k}"
+        docs.append((i, " ".join(text)))
+    monkeypatch.setattr(near, "SPLITS", [(0, 0)])
+    monkeypatch.setattr(near, "TILE", 16)
+    got = sorted(tuple(r) for r in near.groups(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80).collect())
+    assert got == plain_groups(docs, 2, 80)
+
+
 def test_very_long_texts_are_compared_whole(spark):
     rng = random.Random(12)
     text = words(rng, 60_000, 50_000)
