@@ -13,7 +13,8 @@ union``. Buckets that still hold several components are split by the places of o
 many ways (``SPLITS``; buckets of a ``FEW`` classes stay whole), and each part's classes are compared with one
 that is drawn anew, if they are in another component. That joins most of what belongs together while the comparisons
 stay in proportion to the buckets' rows. Then every pair that shares a bucket and is still in two components is
-compared, in tiles of ``TILE`` classes a side, so no link is left out; links within a component need no comparison.
+compared, in tiles of ``TILE`` classes a side, as arrays in a task, so no link is left out; links within a component need
+no comparison.
 Shared shingles are at most the sum of the smaller counts of each of ``BINS`` bins of shingles, which spares most of those
 pairs their texts. That last step grows with the square of a bucket where many texts are almost similar enough.
 A component's id is its smallest document id.
@@ -46,7 +47,8 @@ MOST_ROWS, MOST_BANDS = 7, 64
 SPLITS = [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5), (1, 2), (1, 5), (3, 7), (2, 9), (4, 11), (6, 13)]
 FEW = 8  # classes in a bucket that is not split
 BINS = 256
-TILE = 512  # classes on each side of what one key of the last comparison holds
+TILE = 2048  # classes on each side of what one key of the last comparison holds
+STRIPE = 128  # classes of one side that are compared with the other side at a time
 MOST_ASKED = 1 << 20  # rows of three integers that are broadcast to find their texts
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -204,38 +206,77 @@ def _binned(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, bins binary")
 
 
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs (a, b, n_a, n, bins_a, bins) that their bins do not rule out."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 2048):
-                batch = whole.slice(at, 2048)
-                one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS)
-                              for c in ("bins_a", "bins"))
-                least = np.minimum(one, other)
-                most = least.sum(axis=1, dtype=np.int64)
-                sizes = batch.column("n_a").to_numpy() + batch.column("n").to_numpy()
-                keep = (100 * most >= percent * (sizes - most)) | (least == 255).any(axis=1)  # 255 is 255 or more
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a long, b long")
+def _possible(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows of bins can be similar enough, given the sums of their sizes."""
+    least = np.minimum(one, other)
+    most = least.sum(axis=1, dtype=np.int64)
+    return (100 * most >= percent * (sizes - most)) | (least == 255).any(axis=1)  # 255 is 255 or more
+
+
+def _tile(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pairs of one tile's classes that are in two components and can be similar enough."""
+    ids, n, c, x, i, j = (rows.column(k).to_numpy() for k in ("id", "n", "c", "x", "i", "j"))
+    bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    one, other = np.flatnonzero(x == i), np.flatnonzero(x == j)
+    found = [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(one), STRIPE):
+        part = one[at:at + STRIPE]
+        low, high = np.minimum(n[part][:, None], n[other]), np.maximum(n[part][:, None], n[other])
+        wanted = (c[part][:, None] != c[other]) & (100 * low >= percent * high)
+        if i[0] == j[0]:
+            wanted &= part[:, None] < other
+        a, b = np.nonzero(wanted)
+        for k in range(0, len(a), 1024):
+            p, q = part[a[k:k + 1024]], other[b[k:k + 1024]]
+            keep = _possible(bins[p], bins[q], n[p] + n[q], percent)
+            found.append(ids[np.stack([p[keep], q[keep]])])
+    pairs = np.concatenate(found, axis=1)
+    return pairs.min(axis=0), pairs.max(axis=0)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile (key, i, j), which may lie in several of the sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = np.stack([batch.column(k).to_numpy() for k in ("key", "i", "j")], axis=1)
+        starts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        ends = [*starts.tolist(), len(batch)]
+        if held and (names[0] != last).any():
+            yield pa.concat_batches(held)
+            held = []
+        at = 0
+        for end in ends:
+            if at:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            at = end
+        last = names[-1]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _crossing(named: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of classes (key, id, n, c) that share a bucket, but no component, and can be similar enough.
 
-    A bucket's classes are dealt to blocks, and every two blocks meet in a tile of their own.
+    A bucket's classes are dealt to blocks, and every two blocks meet in a tile of their own. Tiles are arrays in a
+    task, so that only the pairs that their bins do not rule out become rows.
     """
     mixed = _mixed(named).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
     dealt = named.join(mixed, "key").join(bins, "id").withColumn("x", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    one = dealt.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("bins").alias("bins_a"), F.col("x").alias("i"),
-                       F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)).alias("j"))
-    other = dealt.select("key", "id", "n", "c", "bins", F.col("x").alias("j"), F.explode(F.sequence(F.lit(0), F.col("x"))).alias("i"))
-    pairs = one.join(other, ["key", "i", "j"]).where(
-        (F.col("c") != F.col("c_a")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("id")))
-        & _alike(F.col("n"), F.col("n_a"), percent)).select(
-        F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"), "n_a", "n", "bins_a", "bins")
-    return _possible(pairs, percent).distinct()
+    met = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = met.select("key", F.least("x", "met").alias("i"), F.greatest("x", "met").alias("j"), "id", "n", "c", "x", "bins")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles(batches):
+            a, b = _tile(rows, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

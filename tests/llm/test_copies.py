@@ -5,6 +5,7 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rolecall.llm import decontaminate, near, repeats
@@ -128,6 +129,45 @@ def test_no_link_of_an_open_bucket_is_left_out(spark, monkeypatch):
     assert got == plain_groups(docs, 2, 80)
 
 
+def rows_made(frame):
+    """Rows out of the node of a collected frame's plan that made most."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from walk(node.plan())
+        made = node.metrics().get("numOutputRows")
+        if made.isDefined():
+            yield made.get().value()
+        for k in range(node.children().size()):
+            yield from walk(node.children().apply(k))
+
+    return max(walk(frame._jdf.queryExecution().executedPlan()))
+
+
+def test_unlike_classes_of_a_bucket_make_no_rows(spark, monkeypatch):
+    """Pairs of a bucket are compared in arrays: what is made in rows follows the bucket, not its square."""
+    rng = np.random.default_rng(17)
+    size, kinds = 600, [rng.permutation(near.BINS) < 100 for _ in range(600)]
+    named = spark.createDataFrame([(5, i, 100, i) for i in range(size)], "key long, id long, n long, c long")
+    kinds[411] = kinds[7]
+    bins = spark.createDataFrame([(i, bytearray(k.astype(np.uint8).tobytes())) for i, k in enumerate(kinds)], "id long, bins binary")
+    for tile in (near.TILE, 64, 1000):
+        monkeypatch.setattr(near, "TILE", tile)
+        found = near._crossing(named, bins, 80)
+        assert [tuple(r) for r in found.collect()] == [(7, 411)]
+        assert rows_made(found) <= size * -(-size // tile)
+
+
+def test_tiles_that_span_batches():
+    rows = [(k, 0, 0, v) for k in (3, 1, 2) for v in range(5)] + [(2, 0, 1, 9), (2, 1, 1, 9)]
+    table = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "i", "j", "v"])
+    for size in (1, 2, 5, 7, 100):
+        got = [[tuple(r.values()) for r in t.to_pylist()] for t in near._tiles(iter(table.to_batches(max_chunksize=size)))]
+        assert got == [rows[:5], rows[5:10], rows[10:15], rows[15:16], rows[16:]]
+
+
 def test_very_long_texts_are_compared_whole(spark):
     rng = random.Random(12)
     text = words(rng, 60_000, 50_000)
