@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import to_java
-from .text import drop_non_ascii, title_case, to_ascii
+from .text import bind, drop_non_ascii, title_case, to_ascii
 
 # Rewrite rules up to the header casing rule, applied in this order.
 RULES_BEFORE_CASING = [
@@ -50,22 +50,60 @@ RULES_AFTER_CASING = [
     (r"\n{3,}", "\n\n"),                                        # tall gaps
 ]
 
+# What a rule's matches hold; a rule is not run on texts without it.
+NEEDED = {
+    r"\\": "\\",
+    r"(?<=\S) *\n +(?=\S)": "\n ",
+    r" {2,}": "  ",
+    r"(\* ){2,}": "* * ",
+    r"\n{3,}": "\n\n\n",
+    r"(?<=\S)___([ \t]*)___(?=\S)": "___",
+    r"(?<=\S)__([ \t]*)__(?=\S)": "__",
+    r"\: *(_+)": "_",
+    r"^\s*(#+)([^\s#].+?)\s*$": "#",
+    r"\s*\#{1,6}\s+": "#",
+    r"^(?!\s*\* )\s*_+(.+?)_+(?!,)\:?\s+(.+?)\s*$": "_",
+    r"^(?!\s*\* )\s*_+(.+?)\:\s+(.+?)_+\s*$": "_",
+    r"^(?!\s*\* )\s*(.{3,}?)\:(\*\s+)(.+?)\s*$": ":*",
+    r"^(?!\s*\* )\s*(.{3,}?)\:\s+(.+?)\s*$": ":",
+    r"^\s*_{2,}(.+?)_{2,}\:?\s*$": "__",
+    r"^(?!\s*\* )(.+?)\s*\n(\s*\* .+?)": "* ",
+    r"(\s*\* .+?)\n+(?!\s*\* )(.+?)\s*$": "* ",
+    r"(### )+": "### ### ",                                     # a single one stays as it is
+    r"^\s*\#\#\#\s*_{2,}?(.+?)_{2,}?[:.?! \t]*$": "__",
+    r"^###\s*$": "###",
+    r"\n+(\t*\* .+?)$": "* ",
+    r"\n### (.+?)\n": "\n### ",
+    r"_+": "_",
+}
+
 # Two private-use characters: they cannot occur once the text is ASCII.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(
-        lambda c, rule: F.regexp_replace(c, "(?md)" + to_java(rule[0], True), rule[1]), rules, text)
+    def apply(text: Column, rule: tuple[str, str]) -> Column:
+        def changed(c: Column) -> Column:
+            return F.regexp_replace(c, "(?md)" + to_java(rule[0], True), rule[1])
+
+        needed = NEEDED.get(rule[0])
+        if needed is None:
+            return changed(text)
+        return bind(text, lambda c: F.when(c.contains(needed), changed(c)).otherwise(c))
+
+    return reduce(apply, rules, text)
 
 
 def _case_headers(text: Column) -> Column:
     """Title-case whatever ``CAPITAL_HEADER`` captures, through a marked-up split."""
     marked = F.regexp_replace(
         text, "(?md)" + to_java(CAPITAL_HEADER, True), f"### {_OPEN}$1{_CLOSE}")
-    pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
-    cased = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, title_case(p)).otherwise(p))
-    return F.array_join(cased, "")
+
+    def cased(c: Column) -> Column:
+        pieces = F.split(c, f"[{_OPEN}{_CLOSE}]", -1)
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, title_case(p)).otherwise(p)), "")
+
+    return bind(marked, lambda c: F.when(c.contains(_OPEN), cased(c)).otherwise(c))
 
 
 def clean_ascii(text: Column) -> Column:

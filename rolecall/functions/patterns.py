@@ -34,7 +34,7 @@ def to_java(pattern: str, ascii_text: bool = False) -> str:
             elif members:
                 out.append(f"[^{members}]")
             elif escape == "b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(r"\b" if ascii_text else _BOUNDARY)  # Java's own is quicker, and the same among ASCII
             elif escape == "Z":
                 out.append(r"\z")
             else:
@@ -49,9 +49,14 @@ def to_java(pattern: str, ascii_text: bool = False) -> str:
     return "".join(out)
 
 
-def search(text: Column, pattern: str) -> Column:
+def search(text: Column, pattern: str, ascii_text: bool = False) -> Column:
     """Case-insensitive, Unicode-aware search; null text stays null."""
-    return text.rlike("(?iud)" + to_java(pattern))
+    return text.rlike(("(?id)" if ascii_text else "(?iud)") + to_java(pattern, ascii_text))
+
+
+def is_ascii(text: Column) -> Column:
+    """Whether text holds ASCII only."""
+    return F.octet_length(text) == F.length(text)
 
 
 # Letters a case-insensitive match treats as i or s, though lower case keeps them.
@@ -98,7 +103,7 @@ def literal_runs(pattern: str) -> list[str] | None:
     return [runs[0]] if plain else [*runs, ""]
 
 
-def search_folded(folded: Column, text: Column, pattern: str) -> Column:
+def search_folded(folded: Column, text: Column, pattern: str, ascii_text: bool = False) -> Column:
     """``search`` that works on folded text wherever this finds the same.
 
     Text that must occur is looked for as a plain substring before any regex runs.
@@ -109,7 +114,7 @@ def search_folded(folded: Column, text: Column, pattern: str) -> Column:
     if runs is not None and len(runs) == 1:
         return folded.contains(runs[0].lower())
     bare = re.sub(r"\\.", "", pattern)
-    found = folded.rlike("(?d)" + to_java(pattern)) if bare == bare.lower() else search(text, pattern)
+    found = folded.rlike("(?d)" + to_java(pattern, ascii_text)) if bare == bare.lower() else search(text, pattern, ascii_text)
     needed = max(runs, key=len).lower() if runs else ""
     return folded.contains(needed) & found if needed else found
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import fold, search_folded
+from .patterns import fold, is_ascii, search_folded
 from .text import BREAKS as _BREAKS
 from .text import bind, strip
 
@@ -53,11 +55,14 @@ def extract_headers(text: Column) -> Column:
 
 def _first_label(header: Column) -> Column:
     text, folded = header["text"], header["folded"]
-    name, pattern = LABEL_RULES[0]
-    chain = F.when(search_folded(folded, text, pattern), F.lit(name))
-    for name, pattern in LABEL_RULES[1:]:
-        chain = chain.when(search_folded(folded, text, pattern), F.lit(name))
-    return chain.otherwise(F.lit(""))
+
+    def first(ascii_text: bool) -> Column:
+        chain = F
+        for name, pattern in LABEL_RULES:
+            chain = chain.when(search_folded(folded, text, pattern, ascii_text), F.lit(name))
+        return chain.otherwise(F.lit(""))
+
+    return F.when(is_ascii(text), first(True)).otherwise(first(False))
 
 
 def label(header: Column) -> Column:
@@ -67,22 +72,14 @@ def label(header: Column) -> Column:
     return F.when(header.isNotNull(), bind(both, _first_label))
 
 
-def _cut_at_headers(text: Column) -> Column:
-    """Blocks of text, each starting at a header line but perhaps the first.
+def split_sections(text: Column) -> Column:
+    """Array of ``struct<header, body>`` in text order; empty text has no section.
 
-    The cut takes the line break before a header, which stripping would drop anyway. Newlines
-    alone are looked for with a simpler, much faster pattern.
+    Blocks of text each start at a header line but perhaps the first. The cut takes the line break
+    before a header, which stripping would drop anyway. In texts with newlines alone, these are looked
+    for in simpler, much faster ways.
     """
-    other_break = text.rlike(f"[{_BREAKS[2:]}]")
-    any_break = rf"(?:\r\n|[{_BREAKS}])(?=[^{_BREAKS}]*{MARK})"
-    return F.when(other_break, F.split(text, any_break, -1)).otherwise(
-        F.split(text, rf"\n(?=[^\n]*{MARK})", -1))
-
-
-def split_sections(text: Column) -> Column:
-    """Array of ``struct<header, body>`` in text order; empty text has no section."""
-    def section(block: Column) -> Column:
-        first = F.regexp_extract(block, _LINE, 0)
+    def section(block: Column, first: Column) -> Column:
         headed = first.contains(MARK)
         rest = block.substr(F.length(first) + 1, F.length(block))
         return F.struct(
@@ -90,9 +87,14 @@ def split_sections(text: Column) -> Column:
             strip(F.when(headed, rest).otherwise(block)).alias("body"),
         )
 
-    # Only empty text makes a single empty block.
-    blocks = F.filter(_cut_at_headers(text), lambda _: text != "")
-    return F.transform(blocks, section)
+    def cut(at: str, first_line: Callable[[Column], Column]) -> Column:
+        blocks = F.filter(F.split(text, at, -1), lambda _: text != "")  # only empty text makes a single empty block
+        return F.transform(blocks, lambda block: bind(first_line(block), lambda first: section(block, first)))
+
+    return F.when(
+        text.rlike(f"[{_BREAKS[2:]}]"),
+        cut(rf"(?:\r\n|[{_BREAKS}])(?=[^{_BREAKS}]*{MARK})", lambda block: F.regexp_extract(block, _LINE, 0)),
+    ).otherwise(cut(rf"\n(?=[^\n]*{MARK})", lambda block: F.substring_index(block, "\n", 1)))
 
 
 def sections(df: DataFrame, text: str, *keep: str) -> DataFrame:
