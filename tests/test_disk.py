@@ -8,6 +8,7 @@ from rolecall.operators import dedup
 from rolecall.operators.dedup import exact_distinct, merge_pass, packed, unpacked
 from rolecall.operators.key_filter import parted
 from rolecall.plans.merge import batch_leaves, merge_batch
+from rolecall.sources.archive import csv_records
 from rolecall.sources.storage import shared_dir, spool, temporary
 
 
@@ -75,3 +76,19 @@ def test_scopes_of_temporary_tables(spark):
         assert kept.count() == 3
         assert [f for f in folders if f in os.listdir(shared_dir(spark))] == [f for f in folders if f.startswith("kept-")]
     assert not [f for f in folders if f in os.listdir(shared_dir(spark))]
+
+
+def test_records_of_csv_are_numbered_across_splits(spark, tmp_path, monkeypatch):
+    path = tmp_path / "in.csv"
+    records = ["a,b"] + [f'{i},"two\n""lines"" of {i}\n\nend"' for i in range(300)]
+    path.write_text("\n".join(records) + "\n")
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    before = set(os.listdir(shared_dir(spark)))
+    try:
+        found = {r["no"]: r["record"] for r in csv_records(spark, str(path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    assert found == dict(enumerate(records, start=1))
+    new = [n.rpartition("-")[0] for n in set(os.listdir(shared_dir(spark))) - before]
+    assert new == ["placed"]
